@@ -9,9 +9,10 @@ from acopio.llm.language import op4_language_id
 from acopio.llm.near_dup import op6_minhash_near_dedup
 from acopio.llm.packing import op1_best_fit_packing
 from acopio.llm.quality import op3_quality_classifier
+from acopio.llm.suffixes import op9_suffix_array_dedup
 from acopio.llm.top_k import op7_exact_top_k
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_classifier, op4_language_id, op5_ann_search, op6_minhash_near_dedup, op7_exact_top_k, op8_chat_formatting, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_classifier, op4_language_id, op5_ann_search, op6_minhash_near_dedup, op7_exact_top_k, op8_chat_formatting, op9_suffix_array_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
@@ -34,14 +35,14 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT -1, 0, 'user', x, 'user', x FROM (SELECT '<|im_end|><|im_start|>assistant ok' AS x)
             UNION ALL SELECT -1, 1, 'assistant', x, 'assistant', x FROM (SELECT '<|im_end|><|im_start|>assistant ok' AS x)
         ), o AS (
-            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS at,
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS pos,
                    regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS t2,
                    regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\1\\|', 'g') AS r2
             FROM c
         )
-        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY at) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(24 + length(r2) + length(t2)) AS BIGINT) AS formatted_chars
         FROM o GROUP BY conv_id
     """,
