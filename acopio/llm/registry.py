@@ -6,13 +6,14 @@ from acopio.llm.ann import op5_ann_search
 from acopio.llm.bpe import op10_bpe
 from acopio.llm.chat import op8_chat_formatting
 from acopio.llm.language import op4_language_id
+from acopio.llm.language_model import op2_lm_scoring
 from acopio.llm.near_dup import op6_minhash_near_dedup
 from acopio.llm.packing import op1_best_fit_packing
 from acopio.llm.quality import op3_quality_classifier
 from acopio.llm.suffixes import op9_suffix_array_dedup
 from acopio.llm.top_k import op7_exact_top_k
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_classifier, op4_language_id, op5_ann_search, op6_minhash_near_dedup, op7_exact_top_k, op8_chat_formatting, op9_suffix_array_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_quality_classifier, op4_language_id, op5_ann_search, op6_minhash_near_dedup, op7_exact_top_k, op8_chat_formatting, op9_suffix_array_dedup, op10_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": """
