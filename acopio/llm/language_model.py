@@ -43,7 +43,9 @@ HEAVY, BURN_IN, SAMPLES, STRENGTH = 2_000, 3, 3, 1.0
 START = 65_536
 SIZES = (1, 257, 65_537)  # restaurants by level: root, last byte, last two bytes
 END = 0
-PACK = 16 << 20
+PACK = 4 << 20
+#: A bucket is worked on in so many parts, one after the other.
+PARTS = 8
 
 
 def _code(word: bytes) -> int:
@@ -104,17 +106,32 @@ def _counted(deal: int):
     return run
 
 
-def _gathered(table: pa.Table) -> pa.Table:
-    """Of a bucket: sorted words, and pairs (word number, context) with their counts."""
-    words, of, ctx, n = [], [], [], []
-    for x in table.column("data"):
-        w, many, c, k = pickle.loads(x.as_py())
-        words.append(w), of.append(np.repeat(np.arange(len(w)), many)), ctx.append(c.astype(np.int64)), n.append(k.astype(np.int64))
-    known, inv = np.unique(np.concatenate(words), return_inverse=True)
-    at = np.cumsum([0] + [len(w) for w in words])
-    pair = np.concatenate([inv[a + o] for a, o in zip(at, of, strict=False)]) * SIZES[2] + np.concatenate(ctx)
-    keys, where = np.unique(pair, return_inverse=True)
-    return pa.table([table.column("bucket").slice(0, 1).combine_chunks(), pa.array([pickle.dumps((known, keys, np.bincount(where, np.concatenate(n)).astype(np.int64)), 5)], pa.binary())], names=["bucket", "data"])
+def _part(words: np.ndarray, deal: int) -> np.ndarray:
+    return ((words >> np.uint64(16)) // np.uint64(deal) % np.uint64(PARTS)).astype(np.int64)
+
+
+def _gathered(deal: int):
+    """Of a bucket, for each part of it: sorted words, and pairs (word number, context) with counts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        packs = [pickle.loads(x.as_py()) for x in table.column("data")]
+        own = [_part(p[0], deal) for p in packs]
+        rows = []
+        for part in range(PARTS):
+            words, of, ctx, n, at = [], [], [], [], 0
+            for (w, many, c, k), o in zip(packs, own, strict=True):
+                on = o == part
+                pairs = np.repeat(on, many)
+                words.append(w[on]), ctx.append(c[pairs].astype(np.int64)), n.append(k[pairs].astype(np.int64))
+                of.append(at + np.repeat(np.arange(on.sum()), many[on]))
+                at += len(words[-1])
+            if at:
+                known, inv = np.unique(np.concatenate(words), return_inverse=True)
+                keys, where = np.unique(inv[np.concatenate(of)] * SIZES[2] + np.concatenate(ctx), return_inverse=True)
+                rows.append(pickle.dumps((known, keys, np.bincount(where, np.concatenate(n)).astype(np.int64)), 5))
+        return pa.table([pa.array([table.column("bucket")[0].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "data"])
+
+    return run
 
 
 class Towers:
@@ -281,7 +298,7 @@ def _sampled(spark, state: DataFrame, totals, d, v: int, sweeps: int, samples: i
         for batch in batches:
             for b, x in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
                 words, pairs, counts, old = (*pickle.loads(x.as_py()), None)[:4]
-                rng = np.random.default_rng((seed, b))
+                rng = np.random.default_rng((seed, b, int(words[0] % np.uint64(2**31))))
                 x = Towers(words, pairs, counts, old[-1] if old else None)
                 here, kept = [[c.copy(), t.copy()] for c, t in sums], []
                 for k in range(sweeps):
@@ -365,30 +382,43 @@ def _asked(deal: int, shared):
     return run
 
 
-def _answered(shared):
+def _answered(deal: int, shared):
     """Of a bucket: sums of its words' scores for the documents of each pack."""
 
     def run(asked: pa.Table, state: pa.Table) -> pa.Table:
-        model, rows = None, []
+        names, rows, packs, sums = [], [], [], []
         for pack, data, head in zip(asked.column("pack").to_pylist(), asked.column("data"), asked.column("head"), strict=True):
             if head.is_valid:
                 rows.append((pack, None, head.as_py()))
                 continue
-            if model is None:
-                if state.num_rows:
-                    words, pairs, counts, samples = pickle.loads(state.column("data")[0].as_py())
-                    samples = _wide(samples)
-                else:
-                    words, pairs, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                    samples = [(pairs, pairs, pairs)] * len(shared.value[1])
-                model = Samples(words, pairs, counts, samples, *shared.value[1:])
             words, per_word, ctx, per_pair, who, many = pickle.loads(data.as_py())
-            of = np.repeat(np.arange(len(words)), per_word)
-            log, base, known = model.score(words, of, ctx.astype(np.int64))
-            at = np.repeat(np.arange(len(of)), per_pair)
             docs, inv = np.unique(who, return_inverse=True)
-            sums = [np.bincount(inv, x * many) for x in (log[at], base[of][at], known[of][at].astype(float))]
-            rows.append((pack, pickle.dumps((_small(docs), sums[0], sums[1], _small(sums[2].astype(np.int64))), 5), None))
+            names.append((pack, docs))
+            packs.append((words, _part(words, deal), per_word, ctx, per_pair, _small(inv), many))
+            sums.append([np.zeros(len(docs)) for _ in range(3)])
+        states = {}
+        for k, x in enumerate(state.column("data")):
+            states[int(_part(pickle.loads(x.as_py())[0][:1], deal)[0])] = k
+        for part in range(PARTS if packs else 0):
+            if part in states:
+                words, pairs, counts, samples = pickle.loads(state.column("data")[states[part]].as_py())
+                samples = _wide(samples)
+            else:
+                words, pairs, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                samples = [(pairs, pairs, pairs)] * len(shared.value[1])
+            model = Samples(words, pairs, counts, samples, *shared.value[1:])
+            for (words, own, per_word, ctx, per_pair, inv, many), total in zip(packs, sums, strict=True):
+                on = own == part
+                if not on.any():
+                    continue
+                pairs_on = np.repeat(on, per_word)
+                rows_on = np.repeat(pairs_on, per_pair)
+                of = np.repeat(np.arange(on.sum()), per_word[on])
+                log, base, known = model.score(words[on], of, ctx[pairs_on].astype(np.int64))
+                at, to, n = np.repeat(np.arange(len(of)), per_pair[pairs_on]), inv[rows_on], many[rows_on]
+                for t, x in zip(total, (log[at], base[of][at], known[of][at].astype(float)), strict=True):
+                    t += np.bincount(to, x * n, len(t))
+        rows += [(pack, pickle.dumps((_small(docs), a, b, _small(np.rint(c).astype(np.int64))), 5), None) for (pack, docs), (a, b, c) in zip(names, sums, strict=True)]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["pack", "data", "head"])
 
     return run
@@ -400,7 +430,7 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2) -> DataFrame:
     deal = max(6, buckets(spark) // 3)
     kind = docs.schema["doc_id"].dataType.simpleString()
     bare = docs.select(F.col("doc_id").alias("i"), (crc_mod("doc_id", folds) == out_fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("t"))
-    state = written(bare.where(~F.col("held_out")).mapInArrow(_counted(deal), "bucket int, data binary").groupBy("bucket").applyInArrow(_gathered, "bucket int, data binary"), "lz4")
+    state = written(bare.where(~F.col("held_out")).mapInArrow(_counted(deal), "bucket int, data binary").groupBy("bucket").applyInArrow(_gathered(deal), "bucket int, data binary"), "lz4")
     n, v, totals, ones = _sums(state.df())
     d = [float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5 for a, b in ones]
     burnt = written(_sampled(spark, state.df(), totals[0], d, v, BURN_IN, 1, 1), "lz4")
@@ -414,7 +444,7 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2) -> DataFrame:
     tidy(spark)
     shared = spark.sparkContext.broadcast((_heavy(ready.df(), max(1.0, n / HEAVY)), totals, d, n, v))
     asked = bare.mapInArrow(_asked(deal, shared), "bucket int, pack long, data binary, head binary")
-    answers = asked.groupBy("bucket").cogroup(ready.df().groupBy("bucket")).applyInArrow(_answered(shared), "pack long, data binary, head binary")
+    answers = asked.groupBy("bucket").cogroup(ready.df().groupBy("bucket")).applyInArrow(_answered(deal, shared), "pack long, data binary, head binary")
     kinds = pa.schema([("i", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])]).field("i").type
 
     def merge(table: pa.Table) -> pa.Table:
