@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, part
     sizes = block.df().groupBy("block").agg(F.ceil(F.sum("n") / part).cast("int").alias("parts"))
     mine = block.df().join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     mine = mine.select(F.col("rep").alias("doc_id"), "block", "parts", "own")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(mine, "doc_id")
+    # one shuffle of the texts by doc_id, whatever the size of the candidates' side
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).hint("merge").join(mine, "doc_id")
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     deal_to = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("block"), F.lit(16 * deal))).otherwise(F.xxhash64("block", lo, hi))
