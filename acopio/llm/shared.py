@@ -4,7 +4,9 @@ written intermediate tables, and slices of Arrow batches."""
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -52,9 +54,24 @@ def written(df: DataFrame, codec: str = "zstd") -> Table:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of frames that are no longer referenced: its cleaner
+    works once the driver has collected them, in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
+
+
+def pressed(things: tuple) -> bytes:
+    """Arrays and bytes as one compressed value."""
+    raw = pickle.dumps(things, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def opened(value) -> tuple:
+    """What ``pressed`` made, from an Arrow scalar or bytes."""
+    data = memoryview(value.as_py() if isinstance(value, pa.Scalar) else value)
+    return pickle.loads(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
 
 
 def buckets(spark: SparkSession) -> int:

@@ -22,17 +22,13 @@ doc_id are one place: they lose nothing to each other.
 
 from __future__ import annotations
 
-import pickle
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acopio.llm.shared import buckets, text_slices, tidy, written
+from acopio.llm.shared import buckets, opened, pressed, text_slices, tidy, written
 
 LEAST, GRAM = 50, 16
 NO_ID = np.iinfo(np.int64).max
@@ -68,16 +64,15 @@ def runs(data: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray,
     return low[first], first, np.diff(np.append(first, n))
 
 
-def repeats(strings: list[bytes], starts: list[int], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of ``least`` bytes or more: (length, occurrences as (string, start)).
+def intervals(strings: list[bytes], starts: list[int], least: int = LEAST) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The suffix array, rows (string, start), and its maximal repeats: (length, first, end).
 
-    ``starts``: suffixes of a string from its first on.  The suffix array's intervals of common
-    prefixes come off a stack; each knows the bytes before its suffixes (None: the first of
-    its string), and is left-maximal if there are several or a first.
+    ``starts``: suffixes of a string from its first on.  The intervals of common prefixes come off
+    a stack; each knows the bytes before its suffixes (None: the first of its string), and is
+    left-maximal if there are several or a first.
     """
     suffixes = sorted((s[p:], k, p) for k, s in enumerate(strings) for p in range(starts[k]))
-    suffixes = sorted((s[p:], k, p) for k, s in enumerate(strings) for p in range(starts[k]))
-    out: list[tuple[int, list[tuple[int, int]]]] = []
+    out: list[tuple[int, int, int]] = []
     stack: list[tuple[int, int, set]] = []  # common prefix, first suffix, bytes before its suffixes
     for i in range(1, len(suffixes) + 1):
         text, k, p = suffixes[i - 1]
@@ -88,12 +83,18 @@ def repeats(strings: list[bytes], starts: list[int], least: int = LEAST) -> list
             length, begin, seen = stack.pop()
             left = seen | left
             if len(left) > 1 or None in left:
-                out.append((length, [x[1:] for x in suffixes[begin:i]]))
+                out.append((length, begin, i))
         if common and (not stack or stack[-1][0] < common):
             stack.append((common, begin, left))
         elif common:
             stack[-1][2].update(left)
-    return out
+    return np.array([(k, p) for _, k, p in suffixes], np.int64).reshape(-1, 2), out
+
+
+def repeats(strings: list[bytes], starts: list[int], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Maximal repeats of ``least`` bytes or more: (length, all occurrences as (string, start))."""
+    array, found = intervals(strings, starts, least)
+    return [(length, [(int(k), int(p)) for k, p in array[a:z]]) for length, a, z in found]
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -108,22 +109,22 @@ def _packed(docs: DataFrame, deal: int) -> DataFrame:
     """(bucket, data): the runs of a slice of documents whose hash falls into the bucket."""
 
     def run(batches):
-        for part, texts in text_slices(batches, "t", 16 << 20):
-            ids = part.column("id").to_numpy(zero_copy_only=False)
-            hashes, places, counts, ends, keys, at = [], [], [], [], [], 0
-            for i, t in zip(ids, texts, strict=True):
+        for part, texts in text_slices(batches, "t", 12 << 20):
+            ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
+            hashes, places, counts, ends, at = [], [], [], [], 0
+            for t in texts:
                 data = t.encode("utf-8", "replace")
                 h, first, many = runs(data)
                 hashes.append(h), places.append(first + at), counts.append(many)
                 at += len(data)
                 ends.append(at)
-                keys.append(row_key(int(i), data))
             h, place, many = np.concatenate(hashes), np.concatenate(places), np.concatenate(counts)
             bucket = (h % np.uint64(deal)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             h, place, many = h[order], place[order], many[order].astype(np.uint16)
             cut = np.searchsorted(bucket[order], np.arange(deal + 1))
-            ends, keys = np.array(ends, np.int64), np.array(keys, np.uint64)
+            ends = np.array(ends, np.int64)
+            code = h // np.uint64(deal)
             rows = []
             for b in range(deal):
                 x = slice(cut[b], cut[b + 1])
@@ -131,17 +132,12 @@ def _packed(docs: DataFrame, deal: int) -> DataFrame:
                     step = np.diff(place[x], prepend=0)
                     of = np.unique(np.searchsorted(ends, place[x], "right"))
                     narrow = np.uint16 if step.max() < 65536 else np.uint32
-                    rows.append((b, pickle.dumps((h[x], step.astype(narrow), many[x].astype(np.uint8 if many.max() < 256 else np.uint16), ends[of], (ends[of - 1] * (of > 0)), ids[of], keys[of]), 5)))
+                    rows.append((b, pressed((code[x].astype(np.uint32), (code[x] >> np.uint64(32)).astype(np.uint16), step.astype(narrow), many[x].astype(np.uint8 if many[x].max() < 256 else np.uint16), np.diff(ends[of], prepend=0), ends[of] - ends[of - 1] * (of > 0), np.diff(ids[of], prepend=0), keys[of]))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
 
     return docs.mapInArrow(run, "bucket int, data binary")
 
 
-def row_key(doc_id: int, data: bytes) -> int:
-    """Names a row by its id and text: rows that share a doc_id stay apart."""
-    return xxhash.xxh3_64_intdigest(data, seed=doc_id & 0xFFFFFFFF)
-
-
 def _table(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
     return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=list(names))
 
@@ -157,22 +153,24 @@ def _shared_runs(deal: int):
     """Of a bucket: for each group of documents the runs whose hash two documents have."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [pickle.loads(x.as_py()) for x in table.column("data")]
         hashes, starts, counts, ids, keys = [], [], [], [], []
-        for h, step, many, end, begin, doc, key in parts:
-            place = np.cumsum(step.astype(np.int64))
+        for x in table.column("data"):
+            low, high, step, many, end, size, doc, key = opened(x)
+            place, end = np.cumsum(step, dtype=np.int64), np.cumsum(end)
             of = np.searchsorted(end, place, "right")
-            hashes.append(h), starts.append((place - begin[of]).astype(np.uint32)), counts.append(many.astype(np.uint16)), ids.append(doc[of]), keys.append(key[of])
+            hashes.append(low | high.astype(np.uint64) << np.uint64(32)), starts.append((place - (end - size)[of]).astype(np.uint32)), counts.append(many.astype(np.uint16))
+            ids.append(np.cumsum(doc)[of]), keys.append(key[of])
         h, start, many, doc, key = map(np.concatenate, (hashes, starts, counts, ids, keys))
+        del hashes, starts, counts, ids, keys
         order = np.argsort(h, kind="stable")
-        head = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        of = np.cumsum(head) - 1
-        low = np.minimum.reduceat(doc[order], np.nonzero(head)[0])
-        high = np.maximum.reduceat(doc[order], np.nonzero(head)[0])
-        stay = order[(low != high)[of]]
+        head = np.append(True, h[order][1:] != h[order][:-1])
+        first = np.nonzero(head)[0]
+        low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+        stay = order[(low != high)[np.cumsum(head) - 1]]
+        stay = stay[np.argsort(key[stay], kind="stable")]
         h, start, many, key = h[stay], start[stay], many[stay], key[stay]
-        code = ((h // np.uint64(deal)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows = [(int(g), pickle.dumps((key[x], start[x], many[x], code[x], int(table.column("bucket")[0].as_py())), 5)) for g, x in _split((key % np.uint64(deal)).astype(np.int64), deal)]
+        code, bucket = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), int(table.column("bucket")[0].as_py())
+        rows = [(int(g), pressed((*np.unique(key[x], return_counts=True), start[x], many[x], code[x], bucket))) for g, x in _split(key % deal, deal)]
         return _table(rows, ("grp", "data"))
 
     return run
@@ -182,68 +180,87 @@ def _cuttings(deal: int):
     """Of a group of documents: the text of their shared runs, equal ones once, by bucket."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        texts = {}
-        for i, t in zip(docs.column("id").to_pylist(), docs.column("t").to_pylist(), strict=True):
-            data = t.encode("utf-8", "replace")
-            texts[row_key(i, data)] = (i, data)
-        rows = []
+        rows: list[tuple] = []
+        if not found.num_rows or not docs.num_rows:
+            return _table(rows, ("bucket", "data"))
+        all_keys, at = np.unique(docs.column("key").to_numpy(), return_index=True)
+        doc_ids, column, grp = docs.column("id").to_numpy(), docs.column("t"), int(docs.column("grp")[0].as_py())
+        texts: dict[int, bytes] = {}
         for x in found.column("data"):
-            key, start, many, code, bucket = pickle.loads(x.as_py())
-            order = np.argsort(key, kind="stable")
-            strings: dict[tuple[int, bytes], int] = {}
-            of, ids = np.empty(len(key), np.uint32), np.empty(len(key), np.int64)
-            last = data = None
-            for o, k, p, n, c in zip(order.tolist(), key[order].tolist(), start[order].tolist(), many[order].tolist(), code[order].tolist(), strict=True):
-                if k != last:
-                    last, (doc, data) = k, texts[k]
-                of[o] = strings.setdefault((c, data[p : p + n + LEAST - 1]), len(strings))
-                ids[o] = doc
-            rows.append((bucket, pickle.dumps((np.array([c for c, _ in strings], np.uint32), np.array([len(s) for _, s in strings], np.uint32), b"".join([s for _, s in strings]), of, ids, key, start), 5)))
+            keys, each, start, many, code, bucket = opened(x)
+            place = np.searchsorted(all_keys, keys)
+            cut: list[bytes] = []
+            edge = np.append(0, np.cumsum(each))
+            sizes = many.astype(np.int64) + LEAST - 1
+            for d, a, z in zip(place.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if d not in texts:
+                    texts[d] = column[int(at[d])].as_py().encode("utf-8", "replace")
+                data = texts[d]
+                cut += [data[p : p + n] for p, n in zip(start[a:z].tolist(), sizes[a:z].tolist(), strict=True)]
+            names = np.fromiter(map(xxhash.xxh3_64_intdigest, cut), np.uint64, len(cut))
+            _, first, of = np.unique(names, return_index=True, return_inverse=True)
+            blob = b"".join([cut[k] for k in first.tolist()])
+            rows.append((bucket, pressed((code[first], names[first], sizes[first].astype(np.uint16), blob, of.astype(np.uint32), doc_ids[at[place]], place.astype(np.uint32), each.astype(np.uint32), start, grp))))
         return _table(rows, ("bucket", "data"))
 
     return run
 
 
 def _marks(deal: int):
-    """Of a bucket: for each group of documents the spans that repeat an earlier document."""
+    """Of a bucket: for each group of documents the spans that repeat an earlier document.
+
+    Strings are known by a 32-bit code of their minimizer and 64 bits of hash of their own; the bytes
+    of those that share a code with another are compared.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        strings: dict[tuple[int, bytes], int] = {}
-        of, ids, keys, starts = [], [], [], []
-        for x in table.column("data"):
-            code, size, text, o, i, k, p = pickle.loads(x.as_py())
-            ends = np.cumsum(size)
-            names = np.array([strings.setdefault((c, text[z - n : z]), len(strings)) for c, z, n in zip(code.tolist(), ends.tolist(), size.tolist(), strict=True)], np.int64)
-            of.append(names[o]), ids.append(i), keys.append(k), starts.append(p)
-        of, ids, keys, starts = map(np.concatenate, (of, ids, keys, starts))
-        smallest = np.full(len(strings), NO_ID)
+        parts = [opened(x) for x in table.column("data")]
+        code, name, size = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        order = np.lexsort((name, code))
+        new = np.append(True, (name[order][1:] != name[order][:-1]) | (code[order][1:] != code[order][:-1]))
+        number = np.empty(len(code), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        of = np.concatenate([number[a + p[4]] for a, p in zip(base, parts, strict=False)])
+        ids, docs = (np.concatenate([np.repeat(p[k], p[7]) for p in parts]) for k in (5, 6))
+        starts = np.concatenate([p[8] for p in parts])
+        groups = np.repeat([p[9] for p in parts], [len(p[4]) for p in parts])
+        smallest = np.full(len(first), NO_ID)
         np.minimum.at(smallest, of, ids)
-        by_code: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for (c, s), n in strings.items():
-            by_code[c].append((n, s))
         # (string, start in it, length, smallest id): first each whole string, then maximal repeats
-        sizes = np.array([len(s) for _, s in strings], np.int64)
-        spans = [(np.arange(len(strings)), np.zeros(len(strings), np.int64), sizes, smallest)]
-        more: list[tuple[int, int, int, int]] = []
-        for group in by_code.values():
-            if len(group) > 1:
-                for length, where in repeats([s for _, s in group], [len(s) - LEAST + 1 for _, s in group]):
-                    names = {group[k][0] for k, _ in where}
-                    if len(names) > 1:
-                        head = min(int(smallest[n]) for n in names)
-                        more += [(group[k][0], p, length, head) for k, p in where]
-        if more:
-            spans.append(tuple(np.array(x, np.int64) for x in zip(*more, strict=True)))
-        name, place, length, head = (np.concatenate(x) for x in zip(*spans, strict=True))
-        order = np.argsort(name, kind="stable")
-        cut = np.searchsorted(name[order], np.arange(len(strings) + 1))
+        spans = [(np.arange(len(first)), np.zeros(len(first), np.int64), size[first].astype(np.int64), smallest)]
+        which = np.searchsorted(base, first, "right") - 1
+        ends = [np.cumsum(p[2], dtype=np.int64) for p in parts]
+        own = code[first]
+        edge = np.append(np.nonzero(np.append(True, own[1:] != own[:-1]))[0], len(own))
+        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if z - a < 2:
+                continue
+            strings = []
+            for k in range(a, z):
+                part = which[k]
+                end = int(ends[part][first[k] - base[part]])
+                strings.append(parts[part][3][end - int(size[first[k]]) : end])
+            # from long to short: a repeat adds to a suffix only what has an earlier document
+            array, found = intervals(strings, [len(x) - LEAST + 1 for x in strings])
+            low, best = smallest[a + array[:, 0]], np.full(len(array), NO_ID)
+            for length, lo, hi in sorted(found, reverse=True):
+                head = low[lo:hi].min()
+                add = lo + np.nonzero(head < np.minimum(best[lo:hi], low[lo:hi] + 1))[0]
+                if len(add):
+                    best[add] = head
+                    spans.append((a + array[add, 0], array[add, 1], np.full(len(add), length), np.full(len(add), head)))
+        string, place, length, head = (np.concatenate(x) for x in zip(*spans, strict=True))
+        order = np.argsort(string, kind="stable")
+        cut = np.searchsorted(string[order], np.arange(len(first) + 1))
         many = (cut[1:] - cut[:-1])[of]
         at = order[np.repeat(cut[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
         row = np.repeat(np.arange(len(of)), many)
         good = head[at] < ids[row]
         at, row = at[good], row[good]
-        key, begin, size = keys[row], (starts[row] + place[at]).astype(np.uint32), length[at].astype(np.uint16)
-        rows = [(int(g), pickle.dumps((key[x], begin[x], size[x]), 5)) for g, x in _split((key % np.uint64(deal)).astype(np.int64), deal)]
+        doc, begin, length = docs[row], (starts[row] + place[at]).astype(np.uint32), length[at].astype(np.uint16)
+        rows = [(int(g), pressed((doc[x], begin[x], length[x]))) for g, x in _split(groups[row].astype(np.int64), deal)]
         return _table(rows, ("grp", "data"))
 
     return run
@@ -258,32 +275,33 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     doc_id = F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(NO_ID)).alias("id")
     source = F.coalesce(F.col(f"c{names.index(text)}"), F.lit("")).alias("t")
-    bare = plain.select(doc_id, source)
+    # rows that share a doc_id stay apart by their texts
+    group = lambda df: df.withColumn("key", F.xxhash64("id", "t")).withColumn("grp", F.pmod("key", F.lit(deal)).cast("int"))
+    bare = group(plain.select(doc_id, source))
     shared = written(_packed(bare, deal).groupBy("bucket").applyInArrow(_shared_runs(deal), "grp int, data binary"), "lz4")
     tidy(spark)
-    grouped = lambda df: add_group(df, deal)
-    cut = grouped(bare).groupBy("grp").cogroup(shared.df().groupBy("grp")).applyInArrow(_cuttings(deal), "bucket int, data binary")
+    cut = bare.groupBy("grp").cogroup(shared.df().groupBy("grp")).applyInArrow(_cuttings(deal), "bucket int, data binary")
     marked = written(cut.groupBy("bucket").applyInArrow(_marks(deal), "grp int, data binary"), "lz4")
     shared.drop()
     tidy(spark)
     kept = [f"c{k}" for k in range(len(names))]
-    full = grouped(plain.select(*kept, doc_id, source))
+    full = group(plain.select(*kept, doc_id, source))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + ["n_bytes long", "spans array<struct<start:long,end:long>>", "kept string" if as_text else "kept binary"])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def clean(rows: pa.Table, found: pa.Table) -> pa.Table:
         key, begin, size = [], [], []
         for x in found.column("data"):
-            k, b, s = pickle.loads(x.as_py())
+            k, b, s = opened(x)
             key.append(k), begin.append(b), size.append(s)
-        key = np.concatenate(key) if key else np.zeros(0, np.uint64)
+        key = np.concatenate(key) if key else np.zeros(0, np.uint32)
         begin, size = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (begin, size))
         order = np.lexsort((begin, key))
         key, begin, end = key[order], begin[order], (begin + size)[order]
         n_bytes, spans, left = [], [], []
-        for i, t in zip(rows.column("id").to_pylist(), rows.column("t").to_pylist(), strict=True):
-            data = t.encode("utf-8", "replace")
-            name = np.uint64(row_key(i, data))
+        names = np.unique(rows.column("key").to_numpy(), return_inverse=True)[1] if rows.num_rows else ()
+        for name, t in zip(names, rows.column("t"), strict=True):
+            data = t.as_py().encode("utf-8", "replace")
             a, z = np.searchsorted(key, name, "left"), np.searchsorted(key, name, "right")
             n_bytes.append(len(data))
             if a == z:
@@ -302,20 +320,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
     return done.toDF(*names, "n_bytes", "spans", "kept")
 
 
-def add_group(df: DataFrame, deal: int) -> DataFrame:
-    """Add grp, the group of a row: by the key of its id and text, as in the packed rows."""
-
-    @F.pandas_udf("int")
-    def group(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([row_key(int(i), t.encode("utf-8", "replace")) % deal for i, t in zip(ids, texts, strict=True)], dtype="int32")
-
-    return df.withColumn("grp", group("id", "t"))
-
-
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes gone from text (a character of which a byte went goes whole)."""
     done = remove_repeats(docs, as_text=True)
-    return done.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))).select(*docs.columns)
+    return done.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
