@@ -71,7 +71,39 @@ def intervals(strings: list[bytes], starts: list[int], least: int = LEAST) -> tu
     a stack; each knows the bytes before its suffixes (None: the first of its string), and is
     left-maximal if there are several or a first.
     """
-    suffixes = sorted((s[p:], k, p) for k, s in enumerate(strings) for p in range(starts[k]))
+    return _intervals(strings, sorted((s[p:], k, p) for k, s in enumerate(strings) for p in range(starts[k])), least)
+
+
+def classes(strings: list[bytes], least: int = LEAST) -> list[np.ndarray]:
+    """Rows (string, start) of suffixes that share their first ``least`` bytes with another, class by
+    class.  An interval with a common prefix that long lies within one class, so classes
+    are scanned one after the other."""
+    sizes = np.array([len(s) for s in strings])
+    h, width, base, left = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1), 1, _BASE, least
+    whole, done, power = None, 0, base
+    while left:  # the hash of ``least`` bytes from those of 1, 2, 4, ... bytes
+        if left & 1:
+            if whole is None:
+                whole = h
+            else:
+                n = len(whole) - width
+                whole = whole[: max(n, 0)] if n <= 0 else h[:n] * np.uint64(done) + whole[width : width + n]
+            done = power if whole is h else done * power % 2**64
+        left >>= 1
+        if left:
+            h = h[:-width] * np.uint64(power) + h[width:]
+            width, power = width * 2, power * power % 2**64
+    many = np.maximum(sizes - least + 1, 0)
+    k = np.repeat(np.arange(len(strings)), many)
+    p = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    own = _mix(whole[(np.cumsum(sizes) - sizes)[k] + p])
+    order = np.argsort(own, kind="stable")
+    edge = np.append(np.nonzero(np.append(True, own[order][1:] != own[order][:-1]))[0], len(own))
+    rows = np.stack([k, p], 1)[order]
+    return [rows[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if z - a > 1]
+
+
+def _intervals(strings: list[bytes], suffixes: list[tuple[bytes, int, int]], least: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     out: list[tuple[int, int, int]] = []
     stack: list[tuple[int, int, set]] = []  # common prefix, first suffix, bytes before its suffixes
     for i in range(1, len(suffixes) + 1):
@@ -242,15 +274,16 @@ def _marks(deal: int):
                 part = which[k]
                 end = int(ends[part][first[k] - base[part]])
                 strings.append(parts[part][3][end - int(size[first[k]]) : end])
-            # from long to short: a repeat adds to a suffix only what has an earlier document
-            array, found = intervals(strings, [len(x) - LEAST + 1 for x in strings])
-            low, best = smallest[a + array[:, 0]], np.full(len(array), NO_ID)
-            for length, lo, hi in sorted(found, reverse=True):
-                head = low[lo:hi].min()
-                add = lo + np.nonzero(head < np.minimum(best[lo:hi], low[lo:hi] + 1))[0]
-                if len(add):
-                    best[add] = head
-                    spans.append((a + array[add, 0], array[add, 1], np.full(len(add), length), np.full(len(add), head)))
+            for rows in classes(strings):
+                array, found = _intervals(strings, sorted((strings[k][p:], k, p) for k, p in rows.tolist()), LEAST)
+                # from long to short: a repeat adds to a suffix only what has an earlier document
+                low, best = smallest[a + array[:, 0]], np.full(len(array), NO_ID)
+                for length, lo, hi in sorted(found, reverse=True):
+                    head = low[lo:hi].min()
+                    add = lo + np.nonzero(head < np.minimum(best[lo:hi], low[lo:hi] + 1))[0]
+                    if len(add):
+                        best[add] = head
+                        spans.append((a + array[add, 0], array[add, 1], np.full(len(add), length), np.full(len(add), head)))
         string, place, length, head = (np.concatenate(x) for x in zip(*spans, strict=True))
         order = np.argsort(string, kind="stable")
         cut = np.searchsorted(string[order], np.arange(len(first) + 1))
