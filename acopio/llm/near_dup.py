@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from acopio.llm.bpe import Remembered
 from acopio.llm.graph import components
-from acopio.llm.shared import add_columns, buckets, tidy, written
+from acopio.llm.shared import Table, add_columns, buckets, tidy, written
 
 WORDS, THREE, MISS = 5, 3, 0.002
 #: Shingles that a part of a block holds.
@@ -139,8 +139,11 @@ def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[i
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, part: int = PART) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, part: int = PART, tables: list[Table] | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    ``tables`` gets the written tables that the result reads.
+    """
     spark = docs.sparkSession
     half, deal = halves(percent / 100), buckets(spark)
     signed = written(signatures(docs, half, words))
@@ -177,6 +180,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, part
     linked = written(dealt.groupBy("task").applyInPandas(compare, "a long, b long"))
     tidy(spark)
     found = components(linked.df())
+    for t in (block, linked):
+        t.drop()
+    if tables is not None:
+        tables += [signed, reps]
     rows = signed.df().select("doc_id", "n_shingles", "digest").join(reps.df().select("digest", "rep"), "digest", "left")
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
@@ -185,8 +192,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, part
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs without those of a group's later documents (repeated rows of a kept id stay)."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("acopio_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("acopio_gone"), "left_anti")
+    tables: list[Table] = []
+    gone = written(near_duplicates(docs, percent, tables=tables).where(~F.col("kept")).select(F.col("doc_id").alias("acopio_gone")).distinct())
+    for t in tables:
+        t.drop()
+    tidy(docs.sparkSession)
+    return docs.join(gone.df(), F.col("doc_id") == F.col("acopio_gone"), "left_anti")
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
