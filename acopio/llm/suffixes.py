@@ -5,7 +5,7 @@ with a smaller doc_id.  Matches never cross documents.
 
 Dealing: each string of LEAST bytes has a minimizer, the gram of GRAM bytes with the
 smallest hash in it, so equal strings have equal minimizers at equal places.  Consecutive
-strings with one minimizer are a run.  Packs of documents send the hashes of their runs to
+strings with one minimizer are a run, of LEAST - GRAM + 1 strings at most.  Packs of documents send the hashes of their runs to
 buckets (packed arrays, not rows); only runs whose hash is in two documents or more are
 then cut out of the texts and dealt by that hash, so that all equal strings meet.
 
@@ -58,9 +58,12 @@ def runs(data: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray,
         width *= 2
     if width < span:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    # a run is a stretch of starts with the same smallest hash; equal strings a gram's
-    # period apart may share it, so stretches are cut at ``span`` starts from the first
+    # a run is a stretch of starts with the same smallest hash; in a periodic text a stretch has no
+    # end, so stretches are cut at every ``span`` starts from the first: counts and lengths stay
+    # small, and a long stretch is few different strings
     first = np.concatenate([[0], np.nonzero(low[1:] != low[:-1])[0] + 1])
+    parts = -(-np.diff(np.append(first, n)) // span)
+    first = np.repeat(first, parts) + span * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     return low[first], first, np.diff(np.append(first, n))
 
 

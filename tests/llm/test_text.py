@@ -190,6 +190,19 @@ def test_repeats(spark, odd, nothing, some):
     assert cleaned.columns == odd.columns and cleaned.where("text is null").count() == 1
 
 
+def test_periodic_repeats(spark):
+    """Stretches of one run that have more starts than 16 bits count, in two documents."""
+    line = "the same line of 34 letters again."
+    texts = ["a" * 70_000, "xy" + "a" * 80_000 + "z", "ha ha, " * 10_000, "so: " + "ha ha, " * 11_000, f"{line}\n" * 2_000, f"-{line}\n" + f"{line}\n" * 2_100]
+    for t in texts:
+        h, first, many = suffixes.runs(t.encode())
+        assert many.sum() == len(t) - 49 and (np.diff(first) == many[:-1]).all() and many.max() <= 35
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_repeats(df)
+    for r in suffixes.remove_repeats(df).collect():
+        assert (r.n_bytes, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_maximal_repeats(seed):
     rng, least = random.Random(seed), 4
