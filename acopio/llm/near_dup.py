@@ -179,14 +179,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, part
 
     linked = written(dealt.groupBy("task").applyInPandas(compare, "a long, b long"))
     tidy(spark)
-    found = components(linked.df())
-    for t in (block, linked):
+    # a doc_id with several texts, or with words and without, is one node with all their sets
+    several = signed.df().where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count_if(F.col("digest").isNull()).alias("bare"))
+    several = several.where("lo <> hi or (lo is not null and bare > 0)").select("doc_id")
+    same = written(full.select("doc_id", "digest").join(several, "doc_id", "left_semi").join(reps.df().select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    found = components(linked.df().unionByName(same.df()))
+    for t in (block, linked, same):
         t.drop()
     if tables is not None:
         tables += [signed, reps]
-    rows = signed.df().select("doc_id", "n_shingles", "digest").join(reps.df().select("digest", "rep"), "digest", "left")
+    rows = signed.df().select("doc_id", "n_shingles", "digest").join(reps.df().select("digest", "rep"), "digest", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.coalesce("component", "rep")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

@@ -162,6 +162,16 @@ def test_near_duplicates(spark, odd, nothing, some):
     assert near_dup.keep_one(odd).columns == odd.columns
 
 
+def test_near_duplicates_of_one_id_on_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (8, ""), (8, "c"), (9, "c"), (10, "d"), (11, "d"), (11, "")], "doc_id long, text string")
+    got = collections.defaultdict(set)
+    for r in near_dup.near_duplicates(df).collect():
+        got[r.doc_id].add((r.component_id, r.kept))
+    assert got == {1: {(1, True)}, 5: {(1, False)}, 7: {(1, False)}, 8: {(8, True)}, 9: {(8, False)}, 10: {(10, True)}, 11: {(10, False)}}
+    assert sorted(r.doc_id for r in near_dup.keep_one(df).collect()) == [1, 8, 8, 10]
+
+
 def brute_repeats(df):
     seen, out = set(), {}
     for d, t in sorted(texts_of(df), key=lambda x: (x[0] is None, x[0] or 0)):
