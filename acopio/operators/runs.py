@@ -49,10 +49,29 @@ def windows(floor: Column, today: Column, step: int = 89) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), one)
 
 
+def sweep_rank(mode: Column) -> Column:
+    return F.when(mode == "VANISHED", 0).when(mode == "INCREMENTAL", 1).when(mode == "RESUMED", 2).when(mode == "INITIAL", 3).otherwise(4)
+
+
 def sweep_order(mode: Column) -> list[Column]:
     """SO7: vanished, incremental, resumed, initial, unreadable; stable by position."""
-    rank = F.when(mode == "VANISHED", 0).when(mode == "INCREMENTAL", 1).when(mode == "RESUMED", 2).when(mode == "INITIAL", 3).otherwise(4)
-    return [rank.asc(), F.col("pos").asc()]
+    return [sweep_rank(mode).asc(), F.col("pos").asc()]
+
+
+def sweep_ranks(bodies: DataFrame, mode: Column, width: int = 1 << 16) -> DataFrame:
+    """SO7: bodies with ``nth``, their place from 1 in the sweep over all of them.
+
+    Rows are counted by mode and range of ``width`` positions, and numbered within a range:
+    only the counts, a row a range, meet in one task.
+    """
+    first, pos = sweep_order(mode)
+    x = bodies.withColumns({"acopio_mode": sweep_rank(mode), "acopio_range": F.floor(F.col("pos") / width)})
+    by = ["acopio_mode", "acopio_range"]
+    ranges = x.groupBy(*by).agg(F.count("*").alias("acopio_n"))
+    before = F.sum("acopio_n").over(Window.orderBy(*by)) - F.col("acopio_n")
+    x = x.withColumn("acopio_nth", F.row_number().over(Window.partitionBy(*by).orderBy(first, pos)))
+    x = x.join(ranges.select(*by, before.alias("acopio_before")), by)
+    return x.withColumn("nth", F.col("acopio_nth") + F.col("acopio_before")).drop(*by, "acopio_nth", "acopio_before")
 
 
 def run_list(runs: DataFrame, coverage: DataFrame, importer: str | None = None, body: str | None = None, state: str | None = None, since: datetime | date | None = None) -> DataFrame:

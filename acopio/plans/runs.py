@@ -69,11 +69,9 @@ def refresh_floors(spark, sf):
 @Q.query("SELECT o_orderkey AS k, row_number() OVER (ORDER BY CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END, o_orderkey) AS nth FROM orders WHERE o_orderkey <= 200")
 def sweep_order(spark, sf):
     """SO7."""
-    from pyspark.sql import Window
-
     modes = F.element_at(F.array(*map(F.lit, ("VANISHED", "INCREMENTAL", "RESUMED", "INITIAL", "?"))), (F.col("k") % 5 + 1).cast("int"))
     o = roles.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k")).where("k <= 200").withColumn("mode", modes).withColumn("pos", F.col("k"))
-    return o.select("k", F.row_number().over(Window.orderBy(*runs.sweep_order(F.col("mode")))).alias("nth"))
+    return runs.sweep_ranks(o, F.col("mode")).select("k", "nth")
 
 
 @Q.query(with_ctes("runs", "coverage") + "SELECT run FROM runs WHERE importer = 'TENDERS' AND run IN (SELECT run FROM coverage WHERE body = 4) AND started_at >= TIMESTAMP '2024-01-10' ORDER BY started_at DESC, run DESC")

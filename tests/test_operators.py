@@ -116,6 +116,18 @@ def test_tree(spark):
     assert rows(hierarchy.prune(good, spark.createDataFrame([(3,)], "term int")).select("id")) == [(1,), (2,), (3,)]
 
 
+def test_sweep_ranks(spark):
+    """All orders, whatever the width of a range, numbered within modes."""
+    modes = F.element_at(F.array(*map(F.lit, ("VANISHED", "INCREMENTAL", "RESUMED", "INITIAL", "?"))), (F.col("pos") % 5 + 1).cast("int"))
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(F.col("o_orderkey").alias("pos")).withColumn("mode", modes)
+    keys = sorted((r.pos for r in o.collect()), key=lambda k: (k % 5, k))
+    assert max(keys) > 200
+    for width in (1 << 16, 100):
+        assert {r.pos: r.nth for r in runs.sweep_ranks(o, F.col("mode"), width).collect()} == {k: n for n, k in enumerate(keys, 1)}
+    plan = runs.sweep_ranks(o, F.col("mode"))._jdf.queryExecution().executedPlan().toString()
+    assert "row_number() windowspecdefinition(acopio_mode" in plan
+
+
 def test_runs(spark):
     c = spark.createDataFrame([(1, "a", "SUCCEEDED"), (1, "b", "SKIPPED"), (2, "a", "FAILED"), (3, "a", "FAILED"), (3, "b", "SUCCEEDED")], "run int, body string, state string").withColumns({"added": F.lit(1), "refreshed": F.lit(0)})
     all_runs = spark.createDataFrame([(n,) for n in range(1, 5)], "run int")
