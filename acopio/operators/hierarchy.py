@@ -6,32 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(terms: DataFrame, depth: int = 64) -> DataFrame:
-    """HI1: (id, ancestor, up) for terms (id, parent), itself included; cycles stop at ``depth``.
-
-    The number of joins is the logarithm of the depth; each round is cut off with
-    checkpoint(), which executors share.
-    """
-    spark = terms.sparkSession
+def _checkpoints(spark) -> None:
+    """Rounds are cut off with checkpoint(), which executors share."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="acopio-"))
+
+
+def _jumps(terms: DataFrame) -> DataFrame:
+    """(id, above) for terms whose parent is a term."""
     known = terms.select(F.col("id").alias("parent"))
-    jump = terms.where(F.col("parent").isNotNull()).join(known, "parent", "left_semi").select("id", F.col("parent").alias("above")).checkpoint()
-    found = terms.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("up"))
-    reach = 1
-    while reach <= depth and not jump.isEmpty():
+    return terms.where(F.col("parent").isNotNull()).join(known, "parent", "left_semi").select("id", F.col("parent").alias("above")).checkpoint()
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    return jump.join(jump.select(F.col("id").alias("above"), F.col("above").alias("top")), "above").select("id", F.col("top").alias("above")).checkpoint()
+
+
+def closure(terms: DataFrame) -> DataFrame:
+    """HI1: (id, ancestor, up) for terms (id, parent), itself included, at any depth.
+
+    An ancestor that a loop leads to again and again is one row, with the fewest steps.  The
+    number of joins is the logarithm of the depth, or with loops of the number of terms.
+    """
+    _checkpoints(terms.sparkSession)
+    jump = _jumps(terms)
+    found = terms.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("up"))
+    reach, total = 1, terms.count()
+    while reach <= total and not jump.isEmpty():
         more = found.join(jump.select(F.col("id").alias("ancestor"), "above"), "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("up") + reach).alias("up"))
-        found = found.unionByName(more).where(F.col("up") <= depth).checkpoint()
-        jump = jump.join(jump.select(F.col("id").alias("above"), F.col("above").alias("top")), "above").select("id", F.col("top").alias("above")).checkpoint()
+        found = found.unionByName(more).groupBy("id", "ancestor").agg(F.min("up").alias("up")).checkpoint()
+        jump = _doubled(jump)
         reach *= 2
     return found
 
 
-def on_cycle(terms: DataFrame, depth: int = 64) -> DataFrame:
-    """HI1: terms that are their own ancestors."""
-    return closure(terms, depth).where("up > 0 and id = ancestor").select("id").distinct()
+def on_cycle(terms: DataFrame, depth: int | None = None) -> DataFrame:
+    """HI1: terms that are their own ancestors, in loops of any length.
+
+    After as many steps as there are terms only loops are left to jump in, and every term of a
+    loop is jumped to from it.  ``depth`` bounds nothing; callers may still give it.
+    """
+    _checkpoints(terms.sparkSession)
+    jump, reach, total = _jumps(terms), 1, terms.count()
+    while reach < total and not jump.isEmpty():
+        jump = _doubled(jump)
+        reach *= 2
+    return jump.select(F.col("above").alias("id")).distinct()
 
 
 def move_refused(terms: DataFrame, moved: int, to: int) -> DataFrame:

@@ -128,7 +128,7 @@ def term_paths(spark, sf):
 def cycle_check(spark, sf):
     """HI1: loops that are stored already."""
     looped = F.when(F.col("id") == 3, F.lit(345)).when(F.col("id") == 5, F.lit(5)).otherwise(F.col("parent"))
-    return hierarchy.on_cycle(roles.terms(spark, sf).withColumn("parent", looped), depth=20)
+    return hierarchy.on_cycle(roles.terms(spark, sf).withColumn("parent", looped))
 
 
 @Q.query(_TREE + ", k AS (SELECT id, parent FROM terms WHERE id % 97 = 0 UNION SELECT t.id, t.parent FROM terms t JOIN k ON t.id = k.parent) SELECT id FROM k")

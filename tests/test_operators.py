@@ -116,6 +116,20 @@ def test_tree(spark):
     assert rows(hierarchy.prune(good, spark.createDataFrame([(3,)], "term int")).select("id")) == [(1,), (2,), (3,)]
 
 
+def test_deep_tree(spark):
+    """A chain of 100 terms, and a loop of 70 with one term below."""
+    chain = [(k, k - 1 if k > 1 else None, f"n{k}") for k in range(1, 101)]
+    loop = [(k, k - 1 if k > 200 else 269, f"n{k}") for k in range(200, 270)] + [(300, 250, "below")]
+    t = spark.createDataFrame(chain, "id int, parent int, name string")
+    got = {r.id: (r.path, r.depth) for r in hierarchy.paths(t).collect()}
+    assert got == {k: (" › ".join(f"n{j}" for j in range(1, k + 1)), k - 1) for k in range(1, 101)}
+    assert hierarchy.prune(t, spark.createDataFrame([(100,)], "term int")).count() == 100
+    assert hierarchy.search(t, F.col("id") == 1).count() == 100 and hierarchy.move_refused(t, 1, 100).count() == 1
+    both = t.unionByName(spark.createDataFrame(loop, "id int, parent int, name string"))
+    assert rows(hierarchy.on_cycle(both)) == sorted([(k,) for k in range(200, 270)], key=repr) and hierarchy.on_cycle(t).count() == 0
+    assert hierarchy.closure(both).where("id = 300").count() == 71
+
+
 def test_sweep_ranks(spark):
     """All orders, whatever the width of a range, numbered within modes."""
     modes = F.element_at(F.array(*map(F.lit, ("VANISHED", "INCREMENTAL", "RESUMED", "INITIAL", "?"))), (F.col("pos") % 5 + 1).cast("int"))
