@@ -10,7 +10,8 @@ Only whole documents are labelled.  Forward-backward runs over blocks of words:
 matrices of all blocks at once, then block starts, then inside the blocks, which is exact.
 
 Training takes, of the documents with a known label outside the held-out fold, the
-``sample`` with the smallest salted hash of the doc_id, and of each up to ``per_doc`` words
+``sample`` of which each language has an equal share or all its documents, those with the
+smallest salted hash of the doc_id (what is left over goes by hash alone), and of each up to ``per_doc`` words
 in runs spread over the text; runs of several documents are strung together so that the
 transitions see switches.
 
@@ -24,11 +25,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from acopio.llm.bpe import Remembered
-from acopio.llm.shared import add_columns, crc_mod
+from acopio.llm.shared import add_columns, crc_mod, written
 
 NONE = "und"
 BLOCK = 64
@@ -195,16 +196,38 @@ def _runs(text: str, per_doc: int, each: int = 25) -> list[str]:
     return [w for at in begins for w in words[at : at + each]]
 
 
+def _chosen(some: DataFrame, sample: int) -> DataFrame:
+    """doc_id of at most ``sample`` documents: of each language its share or all it has, and the
+    rest, as those of each language, by the smallest hash.
+
+    Rows whose hash is beyond a language's share, with some to spare, go before its rows
+    meet in one task.
+    """
+    by = F.xxhash64("doc_id", F.lit(4))
+    found = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(sample).collect()
+    if not found:
+        return some.select("doc_id").limit(0)
+    share = sample // len(found)
+    counts = some.sparkSession.createDataFrame([(r.lang, (share + 6 * share**0.5 + 20) / r.n) for r in found], "lang string, acopio_part double")
+    near = some.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(by / 2.0**64 + 0.5 < F.col("acopio_part"))
+    first = near.select("doc_id", "lang").distinct().withColumn("acopio_nth", F.row_number().over(Window.partitionBy("lang").orderBy(by, "doc_id"))).where(F.col("acopio_nth") <= share)
+    rest = some.select("doc_id").orderBy(by, "doc_id").limit(sample)
+    both = first.select("doc_id", F.lit(0).alias("acopio_turn")).unionByName(rest.withColumn("acopio_turn", F.lit(1)))
+    return both.groupBy("doc_id").agg(F.min("acopio_turn").alias("acopio_turn")).orderBy("acopio_turn", by, "doc_id").limit(sample).select("doc_id")
+
+
 def fit(docs: DataFrame, folds: int = 5, sample: int = 2_000, per_doc: int = 200) -> Crf:
     """Learn from text and lang of at most ``sample`` documents outside the held-out fold."""
     some = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != 0))
-    chosen = some.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(sample)
+    ids = written(some.select("doc_id", "lang"))  # the texts are read once to choose, not once a step
+    chosen = _chosen(ids.df(), sample)
     some = some.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")  # at most ``sample`` ids
 
     def maker():
         return lambda texts: [pa.array([" ".join(_runs(t, per_doc)) for t in texts], pa.string())]
 
     rows = add_columns(some, "text", [("acopio_words", "string")], maker, drop=("text",)).orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "acopio_words").limit(2 * sample).toArrow().to_pylist()
+    ids.drop()
     return Crf().fit([(r["lang"], w[k : k + 25]) for r in rows for w in [r["acopio_words"].split()] for k in range(0, len(w), 25)])
 
 

@@ -112,6 +112,17 @@ def test_language(spark, odd, nothing, some):
     assert {r.lang_pred for r in language.label(odd, unlearned).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**6 + k, "zzyx qwov yxq wozz vyq", "zz") for k in range(3)], "doc_id long, text string, lang string")
+    model = language.fit(docs.unionByName(rare), sample=40, folds=10**9)
+    assert "zz" in model.labels
+    assert {r.lang_pred for r in language.label(rare, model).collect()} == {"zz"}
+    few = language._chosen(docs.unionByName(rare), 40)
+    assert few.count() == few.distinct().count() == 40 and few.where("doc_id >= 1000000").count() == 3
+    assert language._chosen(docs, 10**6).count() == docs.select("doc_id").distinct().count()
+
+
 def test_language_switches(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit(docs, sample=200)
