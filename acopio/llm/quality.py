@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acopio.llm.shared import add_columns, crc_mod, fresh
+from acopio.llm.shared import add_columns, crc_mod, where_text
 
 UPPER, LOWER, DIGIT = (bytes(range(*map(ord, x))) for x in ("A[", "a{", "0:"))
 SPACE = b" \t\n\r\x0b\x0c"
@@ -171,7 +171,6 @@ def keep(docs: DataFrame, model: Gam, least: float = 0.3) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def maker():
-        return lambda texts: [pa.array(shared.value.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))), pa.float64())]
+        return lambda texts: shared.value.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))) >= least
 
-    name = fresh(docs, "acopio_score")
-    return add_columns(docs, "text", [(name, "double")], maker).where(F.col(name) >= least).drop(name)
+    return where_text(docs, "text", maker)

@@ -3,11 +3,13 @@ written intermediate tables, and slices of Arrow batches."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one slice of a batch holds at most (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch of whole texts.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Whole texts travel to Python in Arrow batches of at most ``rows`` rows from now on in this
+    session: a batch is held by both sides, so it counts several times against an executor."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 class Table:
     """A table written to the shared folder, and read again from there."""
 
@@ -122,6 +143,7 @@ def add_columns(df: DataFrame, text: str, new: list[tuple[str, str]], maker, dro
     plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     source = F.coalesce(F.col(f"c{df.columns.index(text)}"), F.lit("")).alias("t")
     moved = plain.select(*[f"c{k}" for k in at], source)
+    small_batches(df.sparkSession)
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in moved.schema[:-1]] + [f"n{k} {kind}" for k, (_, kind) in enumerate(new)])
     labels = [f"c{k}" for k in at] + [f"n{k}" for k in range(len(new))]
 
@@ -129,5 +151,29 @@ def add_columns(df: DataFrame, text: str, new: list[tuple[str, str]], maker, dro
         make = maker()
         for part, texts in text_slices(batches, "t"):
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *make(texts)], names=labels)
+        del make
+        release()
 
     return moved.mapInArrow(run, schema).toDF(*names, *[n for n, _ in new])
+
+
+def where_text(df: DataFrame, text: str, maker) -> DataFrame:
+    """The rows of df whose text is found good; all columns stay as they are.
+
+    ``maker()`` is called once a task and gives a function from a list of texts (null: empty) to a
+    list of booleans.  Only the text goes to Python, and only the answer comes back.
+    """
+    small_batches(df.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        make = maker()
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["t"])
+            yield pa.array([bool(x) for _, texts in text_slices([batch], "t") for x in make(texts)], pa.bool_())
+        del make
+        release()
+
+    names = df.columns
+    plain = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return plain.where(good(F.coalesce(F.col(f"c{names.index(text)}"), F.lit("")))).toDF(*names)
