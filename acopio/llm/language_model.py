@@ -1,28 +1,37 @@
 """Operator 2: language-model scores by a hierarchical Pitman-Yor model.
 
-Model: a word follows a context, the last two bytes of the word before; contexts with the same last
-byte share a parent, all parents share the root, and the root's base is uniform over the V
-known words and one for all others.  There are at most 65,537 + 257 + 1 restaurants, whatever
-the corpus, while dishes (context, word) grow with it.
-
-Method: in a restaurant of discount d and strength s a word with c customers at t tables has
-probability (c - d t + (s + d T) parent) / (s + C); tables are the parent's customers.
-Seating is sampled by Gibbs: all customers of a dish leave and are seated again one
-at a time at an old table or a new one (long queues: several at a time), and the new seating is
-accepted with the ratio of the seatings' weights.  Words are dealt to buckets, so a
-word's dishes of all three levels lie together; between rounds buckets exchange only the
-totals C and T of the restaurants.  Predictive probabilities are averaged over the samples.
-
-Scoring: packs of documents send their distinct (word, context) pairs, with the documents
-that hold them, to the words' buckets, and get sums a document back.  Words with more than
-1/HEAVY of all tokens (at most HEAVY words) are sent to every task instead, so no bucket
-holds a frequent word's pairs.
-
-Words are known by 48 bits of their hash and their last two bytes.  Discounts come from the
-numbers of dishes with one and two customers.
+Model: a word follows a context, the whole word before it (the start of a text: the end token).
+Each context is a restaurant of discount d and strength s; a word with c customers at t of its T
+tables has probability (c - d t + (s + d T) G(w)) / (s + C) there.  All context restaurants share
+one parent: their tables are the customers of the root restaurant, whose discount is 0 and whose
+base is uniform over the V known words and one slot for all others, so that its distribution G
+given its customers is Dirichlet and can be drawn.
+
+Method: Gibbs sampling, each step exact for this one model, whatever the size of a dish.
+  root: G given the number of tables of every word, one Gamma draw a word.
+  contexts: given G and a Gamma(s / d + T) draw g for each restaurant its dishes are independent:
+    P(t) is proportional to (d g G(w))^t S(c, t), S the generalised Stirling numbers.  All c customers of a
+    dish are seated anew by the Chinese-restaurant process and the seating is accepted with the
+    Metropolis ratio, in which S cancels.  Seating jumps from one opened table to the
+    next, so a dish of a billion customers costs as many steps as it has tables.
+  strength and the root's base weight: drawn from a grid by their likelihood.
+The discount comes from the numbers of dishes with one and two customers.  Predictive
+probabilities are averaged over the samples after burn-in.
+
+Dealing: a pass over the texts sends each pack's distinct (context, word) pairs, with the documents that
+hold them, to cells by context; training counts and the pairs of held-out texts lie in the
+same cell, which is sampled and scored there.  Words meet by word in root cells, which get
+sums of tables and give draws back.  A context with many of the tokens (found in a sample of
+texts; it decides the dealing alone) is spread over several cells by its words, with its totals, at most HEAVY,
+kept by the driver.  A pair held LONG times or more by a pack sends its number only and gets
+one probability back, so one frequent pair weighs a few bytes a pack.
+
+Words are known by 64 bits of their hash: among ten million words two collide with a probability
+of 3 in a million, among a billion of 3 in a hundred.
 
 Defined results: null text is empty and has only the end token; with no training tokens every
-probability is 1 / (V + 1) = 1; repeated rows score alike; null ids count as the empty text.
+probability is 1 / (V + 1) = 1; an empty table gives no rows; repeated rows score alike; null ids count
+as the empty text; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -35,430 +44,573 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from acopio.llm.bpe import Remembered
-from acopio.llm.shared import buckets, crc_mod, text_slices, tidy, written
+from acopio.llm.shared import buckets, crc_mod, release, small_batches, text_slices, tidy, written
 
-HEAVY, BURN_IN, SAMPLES, STRENGTH = 2_000, 3, 3, 1.0
-START = 65_536
-SIZES = (1, 257, 65_537)  # restaurants by level: root, last byte, last two bytes
+BURN_IN, SAMPLES, INNER = 1, 3, 2
 END = 0
-PACK = 4 << 20
-#: A bucket is worked on in so many parts, one after the other.
-PARTS = 8
+PACK = 6 << 20
+LONG, HEAVY, HEAVY_DOCS = 64, 4_000, 4_000
+#: What strength and the root's base weight (a word's share) are drawn from.
+STRENGTHS, WEIGHTS = 10.0 ** np.linspace(-2, 2, 17), 10.0 ** np.linspace(-3, 1, 17)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def _code(word: bytes) -> int:
-    """48 bits of hash, then the last two bytes, which are the next word's context."""
-    tail = word[-1] if len(word) == 1 else word[-2] << 8 | word[-1]
-    return (xxhash.xxh3_64_intdigest(word) >> 16 | 1) << 16 | tail
+    return xxhash.xxh3_64_intdigest(word) or 1
 
 
-def _parent(ctx: np.ndarray) -> np.ndarray:
-    return np.where(ctx == START, 256, ctx & 255)
+def _small(x: np.ndarray) -> np.ndarray:
+    top = x.max(initial=0)
+    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 2**32 else np.int64)
+
+
+_KINDS = "BHIQlfd"
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value with a few bytes of header."""
+    head = b"".join(_KINDS.index(x.dtype.char if x.dtype.char != "L" else "Q").to_bytes(1, "little") + len(x).to_bytes(6, "little") for x in arrays)
+    raw = len(arrays).to_bytes(1, "little") + head + b"".join(x.tobytes() for x in arrays)
+    return len(raw).to_bytes(6, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(value) -> list[np.ndarray]:
+    data = memoryview(value.as_buffer() if isinstance(value, pa.Scalar) else value)
+    raw = memoryview(pa.decompress(data[6:], decompressed_size=int.from_bytes(data[:6], "little"), codec="zstd", asbytes=True))
+    out, at = [], 1 + 7 * raw[0]
+    for k in range(raw[0]):
+        kind = np.dtype(_KINDS[raw[1 + 7 * k]])
+        n = int.from_bytes(raw[2 + 7 * k : 8 + 7 * k], "little")
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * kind.itemsize
+    return out
+
+
+def lgamma(x) -> np.ndarray:
+    """log Gamma of positive numbers, by Stirling's series seven steps on."""
+    x = np.asarray(x, float)
+    rise = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
+    y = x + 7
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    far = x > 1e30
+    return np.where(far, series, series - np.log(np.where(far, 1, rise)))
+
+
+# ---------------------------------------------------------------- seating
+
+
+def seated(c: np.ndarray, lam: np.ndarray, d: float, rng=None, many: np.ndarray | None = None, when: np.ndarray | None = None):
+    """Seatings of dishes whose c customers sit down one after the other: how many opened a table after the
+    first; how many sat when they did, dish after dish; and the log of a seating's target over its proposal.
+
+    When j sit at t tables the next customer opens one with weight y and joins with weight j - d t.  y is lam
+    times (end / c)^d, end the next power of two or c: a table that is opened early makes all later joins less
+    likely.  Only customers who open one are drawn; without rng, ``many`` and ``when`` are
+    followed instead.
+    """
+    own, i, log = np.zeros(len(c), np.int64), np.ones(len(c), np.int64), np.zeros(len(c))
+    owner, moments = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    begin = np.cumsum(many) - many if rng is None else None
+    active = np.nonzero(c > 1)[0]
+    while len(active):
+        n, at, sat = c[active], i[active], d * (own[active] + 1)
+        end = np.minimum(2 ** (np.floor(np.log2(at)).astype(np.int64) + 1), n)
+        y = lam[active] * (end / n) ** d
+        from_here = lgamma(at - sat + y)
+        if rng is None:
+            left = own[active] < many[active]
+            to = np.where(left, when[np.where(left, begin[active] + own[active], 0)] + 1, end + 1) if len(when) else end + 1
+            opens = to <= end
+            to = np.minimum(to, end)
+        else:
+            # log of the probability that nobody opens a table until m sit
+            none = lambda m, s: s[0] + lgamma(m - s[1]) - lgamma(m - s[1] + s[2])
+            s = (from_here - lgamma(at - sat), sat, y)
+            u = np.log(rng.random(len(active)))
+            opens = none(end, s) <= u
+            to, at_open = end.copy(), np.nonzero(opens)[0]
+            lo, hi, u, s = at[opens], end[opens], u[opens], tuple(v[opens] for v in s)
+            while (wide := hi - lo > 1).any():  # nobody opens until lo sit; somebody does before hi sit
+                mid = (lo + hi) // 2
+                yes = none(mid, s) <= u
+                hi, lo = np.where(wide & yes, mid, hi), np.where(wide & ~yes, mid, lo)
+            to[at_open] = hi
+        log[active] += lgamma(to - sat + y) - from_here + np.where(opens, d * np.log(n / end), 0)
+        owner.append(active[opens]), moments.append(to[opens] - 1)
+        own[active] += opens
+        i[active] = to
+        active = active[to < n]
+    owner, moments = np.concatenate(owner), np.concatenate(moments)
+    return own, moments[np.argsort(owner, kind="stable")], log
+
+
+def resat(c: np.ndarray, many: np.ndarray, when: np.ndarray, lam: np.ndarray, d: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """A Metropolis step for dishes whose seatings have a probability proportional to lam^t times j - d t for
+    every customer who joined a table when j sat at t: over all seatings that is lam^t S(c, t).
+
+    A seating is proposed by the Chinese-restaurant process of ``seated``; the old one is weighed under the lam of now.
+    """
+    some = c > 1
+    at = np.nonzero(some)[0]
+    if not len(at):
+        return many, when
+    x = np.maximum(lam[at], 1e-300)
+    new, new_when, log = seated(c[at], x, d, rng)
+    yes = np.log(rng.random(len(at))) < log - seated(c[at], x, d, None, many[at], when)[2]
+    owner = np.concatenate([np.repeat(np.arange(len(at)), many[at])[np.repeat(~yes, many[at])], np.repeat(np.arange(len(at)), new)[np.repeat(yes, new)]])
+    both = np.concatenate([when[np.repeat(~yes, many[at])], new_when[np.repeat(yes, new)]])
+    out = many.copy()
+    out[at] = np.where(yes, new, many[at])
+    return out, both[np.argsort(owner, kind="stable")]
+
+
+def sweep(u: np.ndarray, c: np.ndarray, many: np.ndarray, when: np.ndarray, word: np.ndarray, share: np.ndarray, contexts: int, s: float, d: float, rng, given=None):
+    """Seatings of the dishes (context u, word) of a cell, drawn anew: tables after the first, and when they were
+    opened.  share: G of the words; given: for contexts that lie in several cells (places, g)."""
+    g = rng.standard_gamma(s / d + np.bincount(u, many + (c > 0), contexts))
+    if given is not None:
+        g[given[0]] = given[1]
+    return resat(c, many, when, d * g[u] * share[word], d, rng)
+
+
+def drawn(rng, grid: np.ndarray, log: np.ndarray) -> float:
+    p = np.exp(log - log.max())
+    return float(grid[np.searchsorted(np.cumsum(p / p.sum()), rng.random()).clip(0, len(grid) - 1)])
+
+
+def strength_log(tables: np.ndarray, customers: np.ndarray, d: float) -> np.ndarray:
+    """Of each strength the log likelihood of restaurants, in parts that can be added."""
+    r = STRENGTHS[:, None]
+    return (lgamma(r / d + tables) - lgamma(r / d) + lgamma(r) - lgamma(r + customers)).sum(1)
+
+
+def weight_log(n: int, total_log: float) -> np.ndarray:
+    """Of each base weight the log likelihood of a distribution over n words whose logs add to total_log."""
+    return lgamma(WEIGHTS * n) - n * lgamma(WEIGHTS) + (WEIGHTS - 1) * total_log
+
+
+# ---------------------------------------------------------------- texts to cells
 
 
 class Tokens:
-    """Codes, contexts and documents of the tokens of a list of texts."""
+    """Codes and documents of the tokens of a list of texts."""
 
-    def __init__(self, remember: int = 400_000):
+    def __init__(self, remember: int = 300_000):
         self.memory = Remembered(_code, remember)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts, sizes = [], []
         last = np.array([END], np.uint64)
         for t in texts:
             words = t.encode("utf-8", "replace").lower().split()
             parts += [np.fromiter(map(self.memory.__getitem__, words), np.uint64, len(words)), last]
             sizes.append(len(words) + 1)
-        code = np.concatenate(parts)
-        ctx = np.empty(len(code), np.int64)
-        ctx[1:] = (code[:-1] & np.uint64(0xFFFF)).astype(np.int64)
-        ctx[np.cumsum([0, *sizes[:-1]])] = START
-        return code, ctx, np.repeat(np.arange(len(texts)), sizes)
+        return np.concatenate(parts), np.repeat(np.arange(len(texts)), sizes)
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8 if x.max(initial=0) < 256 else np.uint16 if x.max() < 65536 else np.uint32 if x.max() < 2**32 else np.int64)
+def _heavy(bare: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts with more than a quarter of a cell's share of the tokens, and over how many cells each
+    goes.  From at most HEAVY_DOCS documents: it changes where a dish lies, not what is counted."""
+    part = min(1.0, HEAVY_DOCS / max(1, bare.count()))
+    some = bare.where(F.xxhash64("i", F.lit(11)) / 2.0**64 + 0.5 <= part)
+
+    def run(batches):
+        tokens = Tokens()
+        for _, texts in text_slices(batches, "t", PACK):
+            words, n = np.unique(tokens(texts)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["w", "n"])
+        del tokens
+        release()
+
+    counts = some.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    found = counts.where(F.col("n") > max(8.0, total / min(4 * cells, HEAVY))).collect()  # at most HEAVY words
+    words = np.array([r.w for r in found], np.int64).view(np.uint64)
+    parts = np.minimum(cells, np.ceil(np.array([r.n for r in found], float) / total * 4 * cells)).astype(np.int64)
+    order = np.argsort(words)
+    return words[order], parts[order]
+
 
+def _where(u: np.ndarray, w: np.ndarray, cells: int, heavy) -> np.ndarray:
+    """The cell of each pair of codes."""
+    at = _mix(u)
+    if len(heavy[0]):
+        k = np.minimum(np.searchsorted(heavy[0], u), len(heavy[0]) - 1)
+        at = at + np.where(heavy[0][k] == u, _mix(w + np.uint64(77)) % heavy[1][k].astype(np.uint64), np.uint64(0))
+    return (at % np.uint64(cells)).astype(np.int64)
 
-def _counted(deal: int):
-    """Of packs of documents: for each bucket its words, and their contexts and counts."""
+
+def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _packs(cells: int, heavy):
+    """Of packs of documents: for each cell its pairs and who holds them, and the pack's own row."""
 
     def run(batches):
         tokens = Tokens()
-        for _, texts in text_slices(batches, "t", PACK):
-            code, ctx, _ = tokens(texts)
-            words, inv = np.unique(code, return_inverse=True)
-            pair, n = np.unique(inv * SIZES[2] + ctx, return_counts=True)
-            of, ctx = pair // SIZES[2], pair % SIZES[2]
-            bucket = ((words >> np.uint64(16)) % np.uint64(deal)).astype(np.int64)
-            rows = []
-            order = np.argsort(bucket[of], kind="stable")
-            cut = np.searchsorted(bucket[of][order], np.arange(deal + 1))
-            for b in range(deal):
-                x = order[cut[b] : cut[b + 1]]
-                if len(x):
-                    own, first = np.unique(of[x], return_index=True)
-                    rows.append((b, pickle.dumps((words[own], _small(np.diff(np.append(first, len(x)))), _small(ctx[x]), _small(n[x])), 5)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "data"])
+        task = TaskContext.get().partitionId()
+        for nth, (part, texts) in enumerate(text_slices(batches, "t", PACK)):
+            name = task << 32 | nth  # the same when a lost task runs again
+            out = part.column("held_out").to_numpy(zero_copy_only=False)
+            turn = np.argsort(out, kind="stable")  # training documents first
+            train = int((~out).sum())
+            code, doc = tokens([texts[k] for k in turn.tolist()])
+            words, w = np.unique(code, return_inverse=True)
+            pair = np.append(0, w[:-1]) * len(words) + w  # the end token, code 0, comes before each first word
+            order = np.argsort(pair, kind="stable")
+            by = pair[order]
+            start = np.nonzero(np.append(True, by[1:] != by[:-1]))[0]
+            n = np.diff(np.append(start, len(by)))
+            u, w = by[start] // len(words), by[start] % len(words)
+            doc_by = doc[order]
+            taught = np.add.reduceat((doc_by < train).astype(np.int64), start)
+            cell = _where(words[u], words[w], cells, heavy)
+            turn_by = np.argsort(cell, kind="stable")
+            cut = np.searchsorted(cell[turn_by], np.arange(cells + 1))
+            long = turn_by[n[turn_by] >= LONG]
+            head = pickle.dumps((part.column("i").take(pa.array(turn)).to_pylist(), out[turn], np.bincount(doc, minlength=len(texts)), _small(cell[long]), _small(n[long]), _small(doc_by[_ranges(start[long], n[long])])), 5)
+            rows = [(name % cells, name, None, head)]
+            for b in np.nonzero(np.diff(cut))[0].tolist():
+                x = turn_by[cut[b] : cut[b + 1]]
+                own, first = np.unique(u[x], return_index=True)
+                mine, inv = np.unique(w[x], return_inverse=True)
+                short = x[n[x] < LONG]
+                rows.append((b, name, packed(words[own], _small(np.diff(np.append(first, len(x)))), words[mine], _small(inv), _small(n[x]), _small(taught[x]), _small(doc_by[_ranges(start[short], n[short])])), None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["cell", "pack", "data", "head"])
+        del tokens
+        release()
 
     return run
 
 
-def _part(words: np.ndarray, deal: int) -> np.ndarray:
-    return ((words >> np.uint64(16)) // np.uint64(deal) % np.uint64(PARTS)).astype(np.int64)
+def _gathered(cells: int, heavy):
+    """Of a cell: its words (by root cell), its dishes, for each pack who holds them; and the packs' own rows."""
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = [(0, p, None, None, None, h) for p, h in zip(table.column("pack").to_pylist(), table.column("head").to_pylist(), strict=True) if h is not None]
+        packs = [(p, x) for p, x in zip(table.column("pack").to_pylist(), table.column("data"), strict=True) if x.is_valid]
+        if packs:
+            us, ws = [], []
+            for _, x in packs:
+                got = unpacked(x)
+                us.append(got[0]), ws.append(got[2])
+            us, ws = np.unique(np.concatenate(us)), np.unique(np.concatenate(ws))
+            keys = []
+            for _, x in packs:
+                u, per, w, inv, *_ = unpacked(x)
+                keys.append(np.repeat(np.searchsorted(us, u), per) * len(ws) + np.searchsorted(ws, w)[inv])
+            every = np.unique(np.concatenate(keys))
+            count, lists = np.zeros(len(every), np.int64), []
+            for (name, x), key in zip(packs, keys, strict=True):
+                *_, n, taught, docs = unpacked(x)
+                at = np.searchsorted(every, key)
+                count += np.bincount(at, taught, len(every)).astype(np.int64)
+                lists.append((name, packed(_small(np.diff(at, prepend=0)), n, docs)))
+            root = _mix(ws) % np.uint64(cells)
+            turn = np.argsort(root, kind="stable")
+            place = np.empty(len(ws), np.int64)
+            place[turn] = np.arange(len(ws))
+            u, w = every // len(ws), place[every % len(ws)]
+            k = np.minimum(np.searchsorted(heavy[0], us), max(0, len(heavy[0]) - 1))
+            on = np.nonzero(heavy[0][k] == us)[0] if len(heavy[0]) else np.zeros(0, np.int64)
+            words = packed(ws[turn], root[turn], np.bincount(w, count, len(ws)).astype(np.int64), np.bincount(w, count > 0, len(ws)).astype(np.int64))
+            state = packed(_small(np.bincount(u, minlength=len(us))), _small(w), _small(count), np.zeros(len(w), np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.float32), np.zeros(0, np.float32), on, k[on], np.array([len(ws)]))
+            rows.append((table.column("cell")[0].as_py(), 0, words, state, pickle.dumps(lists, 5), None))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["cell", "pack", "words", "state", "lists", "head"])
 
-def _gathered(deal: int):
-    """Of a bucket, for each part of it: sorted words, and pairs (word number, context) with counts."""
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        packs = [pickle.loads(x.as_py()) for x in table.column("data")]
-        own = [_part(p[0], deal) for p in packs]
-        rows = []
-        for part in range(PARTS):
-            words, of, ctx, n, at = [], [], [], [], 0
-            for (w, many, c, k), o in zip(packs, own, strict=True):
-                on = o == part
-                pairs = np.repeat(on, many)
-                words.append(w[on]), ctx.append(c[pairs].astype(np.int64)), n.append(k[pairs].astype(np.int64))
-                of.append(at + np.repeat(np.arange(on.sum()), many[on]))
-                at += len(words[-1])
-            if at:
-                known, inv = np.unique(np.concatenate(words), return_inverse=True)
-                keys, where = np.unique(inv[np.concatenate(of)] * SIZES[2] + np.concatenate(ctx), return_inverse=True)
-                rows.append(pickle.dumps((known, keys, np.bincount(where, np.concatenate(n)).astype(np.int64)), 5))
-        return pa.table([pa.array([table.column("bucket")[0].as_py()] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "data"])
+
+# ---------------------------------------------------------------- the root
+
+
+def _first_up(batches):
+    """Of cells: to each root cell the words' codes, customers and tables."""
+    for batch in batches:
+        for b, x in zip(batch.column("cell").to_pylist(), batch.column("words"), strict=True):
+            code, root, n, t = unpacked(x)
+            yield _sent(b, root.astype(np.int64), code, _small(n), _small(t))
+
+
+def _sent(cell: int, root: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    to, first = np.unique(root, return_index=True)
+    edge = np.append(first, len(root)).tolist()
+    rows = [packed(*(v[a:z] for v in values)) for a, z in zip(edge[:-1], edge[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([cell] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names=["root", "cell", "data"])
+
+
+def _rooted(table: pa.Table) -> pa.Table:
+    """Of a root cell: its words' customers, and which of them each cell has, in the cell's order."""
+    got = [unpacked(x) for x in table.column("data")]
+    words, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+    n, t = (np.bincount(at, np.concatenate([g[k] for g in got]), len(words)).astype(np.int64) for k in (1, 2))
+    cell = table.column("cell").to_numpy().astype(np.int64)
+    state = packed(n, t, cell, np.array([len(g[0]) for g in got]), _small(at))
+    return pa.table([pa.array([table.column("root")[0].as_py()], pa.int32()), pa.array([state], pa.binary()), pa.array([float(n.sum())]), pa.array([float((n > 0).sum())])], names=["root", "state", "n", "v"])
+
+
+def _down(weight: float, seed: int, with_counts: bool):
+    """Of a root cell: a draw for each known word, sent to the cells that have it (-1: unknown)."""
+
+    def run(root: pa.Table, ups: pa.Table) -> pa.Table:
+        names = ["cell", "root", "data", "g", "log_g"]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.float64())
+        n, t, cell, sizes, at = unpacked(root.column("state")[0])
+        b = root.column("root")[0].as_py()
+        if ups.num_rows:
+            now = dict(zip(ups.column("cell").to_pylist(), ups.column("data"), strict=True))
+            edge = np.append(0, np.cumsum(sizes))
+            t = np.zeros(len(n), np.int64)
+            for k, c in enumerate(cell.tolist()):
+                if c in now:
+                    t += np.bincount(at[edge[k] : edge[k + 1]], unpacked(now[c])[0], len(n)).astype(np.int64)
+        known = n > 0
+        g = np.where(known, np.random.default_rng((seed, b)).standard_gamma(weight + t), -1).astype(np.float32)
+        real = g[known].astype(float)
+        edge = np.append(0, np.cumsum(sizes)).tolist()
+        rows = [(c, b, packed(g[at[a:z]], *([_small(n[at[a:z]])] * with_counts)), None, None) for c, a, z in zip(cell.tolist(), edge[:-1], edge[1:], strict=True)]
+        rows.append((-1, b, None, float(real.sum()), float(np.log(np.maximum(real, 1e-40)).sum())))
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
     return run
 
 
-class Towers:
-    """The dishes of a set of words at all levels.  keys: word * restaurants + restaurant."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray, tables=None, weights=None):
-        self.words = words
-        mid = pairs // SIZES[2] * SIZES[1] + _parent(pairs % SIZES[2])
-        mids, self.up2 = np.unique(mid, return_inverse=True)
-        self.keys = [np.arange(len(words)), mids, pairs]
-        self.up1 = mids // SIZES[1]
-        self.counts = counts
-        # as few tables as can be, to begin with
-        self.tables = list(tables) if tables else [np.ones(len(k), np.int64) for k in self.keys]
-        self.weights = list(weights) if weights else [None, None, None]
-
-    def customers(self, level: int) -> np.ndarray:
-        if level == 2:
-            return self.counts
-        up = self.up2 if level == 1 else self.up1
-        return np.bincount(up, self.tables[level + 1], len(self.keys[level])).astype(np.int64)
-
-    def restaurant(self, level: int) -> np.ndarray:
-        return self.keys[level] % SIZES[level] if level else np.zeros(len(self.words), np.int64)
-
-    def totals(self):
-        """For each level the restaurants' customers and tables, and dishes of one and two customers."""
-        out = []
-        for level in range(3):
-            c, r = self.customers(level), self.restaurant(level)
-            out.append((np.bincount(r, c, SIZES[level]), np.bincount(r, self.tables[level], SIZES[level]), (c == 1).sum(), (c == 2).sum()))
-        return out
-
-    def sweep(self, totals: list[list[np.ndarray]], d: list[float], v: int, rng: np.random.Generator) -> None:
-        """Seat all customers again: leaves first, then their tables in the parents.  totals: C, T by level."""
-        for level in (2, 1, 0):
-            t, c, r = self.tables[level], self.customers(level), self.restaurant(level)
-            np.minimum(t, c, out=t)
-            total = totals[level][1]
-            parent = self.parents(level, totals, d, v)
-            new, weight = _seat(c, total[r] - t, d[level], parent, rng)
-            old = self.weights[level]
-            if old is not None:
-                stay = (np.log(rng.random(len(t))) > weight - old) & (t <= c)
-                new, weight = np.where(stay, t, new), np.where(stay, old, weight)
-            totals[level][1] = np.maximum(total + np.bincount(r, new - t, len(total)), 0)
-            self.tables[level], self.weights[level] = new, weight
-            if level:
-                totals[level - 1][0] = np.maximum(totals[level - 1][0] + np.bincount(_up(level, np.arange(SIZES[level])), np.bincount(r, new - t, len(total)), SIZES[level - 1]), 0)
-
-    def parents(self, level: int, totals, d, v) -> np.ndarray:
-        """What a dish's parent gives its word, with one of the dish's tables in it."""
-        if level == 0:
-            return np.full(len(self.words), 1 / (v + 1))
-        up = self.up2 if level == 2 else self.up1
-        above = self.parents(level - 1, totals, d, v)[up]
-        t, c = np.minimum(self.tables[level - 1], self.customers(level - 1))[up], self.customers(level - 1)[up] - self.tables[level] + 1
-        r = self.restaurant(level - 1)[up]
-        cc, tt = totals[level - 1][0][r], totals[level - 1][1][r]
-        t = np.minimum(t, c)
-        return (np.maximum(c - d[level - 1] * t, 0) + (STRENGTH + d[level - 1] * tt) * above) / (STRENGTH + np.maximum(cc, c))
-
-
-def _up(level: int, r: np.ndarray) -> np.ndarray:
-    return _parent(r) if level == 2 else np.zeros(len(r), np.int64)
-
-
-def _seat(c: np.ndarray, others: np.ndarray, d: float, parent: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of c customers seated in turn, and the log weight of what was drawn."""
-    t, weight = np.ones(len(c), np.int64), np.zeros(len(c))
-    order = np.argsort(-c, kind="stable")
-    sizes = -c[order]
-    i = 1
-    while True:
-        k = int(np.searchsorted(sizes, -i, "left"))  # those with more than i customers
-        if not k:
-            return t, weight
-        at = order[:k]
-        new = (STRENGTH + d * np.maximum(others[at] + t[at], 0)) * parent[at]
-        both = new + i - d * t[at]
-        many = 1 if i < 64 else i // 16
-        n = np.minimum(many, c[at] - i)
-        p = np.clip(new / both, 0, 1)
-        t[at] += (rng.random(k) < p) if many == 1 else rng.binomial(n, p)
-        weight[at] += n * np.log(both)
-        i += many
-
-
-class Samples:
-    """What scoring needs: words' towers at each sample, and the restaurants' totals there."""
-
-    def __init__(self, words, pairs, counts, samples, totals, d, n, v):
-        base = Towers(words, pairs, counts)
-        self.words, self.keys, self.n, self.v = words, base.keys, n, v
-        self.total = np.bincount(pairs // SIZES[2], counts, len(words)) if len(words) else np.zeros(0)
-        self.at = []
-        for tables, sums in zip(samples, totals, strict=True):
-            x = Towers(words, pairs, counts, tables)
-            weight = [(STRENGTH + d[k] * sums[k][1]) / (STRENGTH + sums[k][0]) for k in range(3)]
-            seen = [np.maximum(x.customers(k) - d[k] * np.minimum(tables[k], x.customers(k)), 0) / (STRENGTH + sums[k][0][x.restaurant(k)]) for k in range(3)]
-            self.at.append((seen, weight))
-
-    def score(self, words: np.ndarray, of: np.ndarray, ctx: np.ndarray):
-        """For pairs (words[of], ctx): log10 of the mean probability; for words: log10 of the base, known."""
-        number = np.searchsorted(self.words, words)
-        number[number == len(self.words)] = 0
-        known = (self.words[number] == words) if len(self.words) else np.zeros(len(words), bool)
-        count = np.where(known, self.total[number] if len(self.words) else 0, 0)
-        base = np.log10((count + 1) / (self.n + self.v + 1))
-        w, k = number[of], known[of]
-        r = [np.zeros(len(of), np.int64), _parent(ctx), ctx]
-        place, hit = [], []
-        for level in range(3):
-            key = w * SIZES[level] + r[level]
-            p = np.searchsorted(self.keys[level], key)
-            p[p == len(self.keys[level])] = 0
-            place.append(p), hit.append(k & (self.keys[level][p] == key) if len(self.keys[level]) else np.zeros(len(of), bool))
-        total = np.zeros(len(of))
-        for seen, weight in self.at:
-            p = np.full(len(of), 1 / (self.v + 1))
-            for level in range(3):
-                p *= weight[level][r[level]]
-                if len(seen[level]):
-                    p += np.where(hit[level], seen[level][place[level]], 0)
-            total += p
-        return np.log10(total / len(self.at)), base, known
-
-
-def _sums(state: DataFrame):
-    """N, V, and for each sample and level C, T and dishes of one and two customers: bounded rows to the driver."""
+# ---------------------------------------------------------------- the contexts
+
+
+class Cell:
+    """Dishes of a cell; ``share``: G of its words when they were seated last."""
+
+    def __init__(self, state):
+        per, self.word, c, many, when, acc, share, self.here, self.heavy, words = unpacked(state)
+        self.many, self.words = len(per), int(words[0])  # contexts, words
+        self.u = np.repeat(np.arange(self.many), per)
+        self.per, self.c, self.opened, self.when = per, c.astype(np.int64), many.astype(np.int64), when.astype(np.int64)
+        self.acc = acc.astype(float) if len(acc) else np.zeros(len(c))
+        self.share = share
+
+    @property
+    def t(self) -> np.ndarray:
+        return self.opened + (self.c > 0)
+
+    def totals(self, shared=None) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of the contexts; shared: those of contexts that lie in several cells."""
+        c, t = np.bincount(self.u, self.c, self.many), np.bincount(self.u, self.t, self.many)
+        if shared is not None and len(self.here):
+            c[self.here], t[self.here] = shared[0][self.heavy], shared[1][self.heavy]
+        return c, t
+
+    def probabilities(self, shared, s: float, d: float) -> np.ndarray:
+        c, t = self.totals(shared)
+        return (np.maximum(self.c - d * self.t, 0) + (s + d * t)[self.u] * self.share[self.word].astype(float)) / (s + c)[self.u]
+
+    def packed(self) -> bytes:
+        return packed(self.per, self.word, _small(self.c), _small(self.opened), _small(self.when), self.acc.astype(np.float32), self.share.astype(np.float32), self.here, self.heavy, np.array([self.words]))
+
+
+def _shares(rows: pa.Table, norm: float, unknown: float) -> np.ndarray:
+    """G of a cell's words from what the root cells sent."""
+    order = np.argsort(rows.column("root").to_numpy(), kind="stable").tolist()
+    g = np.concatenate([unpacked(rows.column("data")[k])[0] for k in order]).astype(float)
+    return np.where(g < 0, unknown, g) / norm
+
+
+def _swept(cells: int, shared):
+    """Of a cell: seats drawn anew given the root's draw; the cell's new row, its tables for
+    the root cells, and what the driver adds up."""
+
+    def run(state: pa.Table, down: pa.Table) -> pa.Table:
+        seed, norm, unknown, s, d, g, before, heavy_totals = shared.value
+        b = state.column("cell")[0].as_py()
+        x = Cell(state.column("state")[0])
+        if before:  # the last seating was a sample: its probabilities count
+            x.acc += x.probabilities(heavy_totals, *before)
+        x.share = _shares(down, norm, unknown)
+        rng = np.random.default_rng((seed, b))
+        given = (x.here, g[x.heavy]) if len(x.here) else None
+        for _ in range(INNER):
+            x.opened, x.when = sweep(x.u, x.c, x.opened, x.when, x.word, x.share, x.many, s, d, rng, given)
+        c, t = x.totals()
+        alone = np.ones(x.many, bool)
+        alone[x.here] = False
+        rows = [(b, None, x.packed(), None, None), (-1, None, None, strength_log(t[alone], c[alone], d).tolist(), None)]
+        rows += [(-2, int(h), None, [float(c[k]), float(t[k])], None) for k, h in zip(x.here.tolist(), x.heavy.tolist(), strict=True)]
+        tables = np.bincount(x.word, x.t, x.words).astype(np.int64)
+        order = np.argsort(down.column("root").to_numpy(), kind="stable").tolist()
+        at = 0
+        for k in order:
+            n = len(unpacked(down.column("data")[k])[0])
+            rows.append((b, down.column("root")[k].as_py(), None, None, packed(_small(tables[at : at + n]))))
+            at += n
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.float64()), pa.binary())
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["cell", "root", "state", "sums", "up"])
 
-    def run(batches):
-        for batch in batches:
-            for x in batch.column("data"):
-                words, pairs, counts, samples = (*pickle.loads(x.as_py()), None)[:4]
-                rows = [(-1, 0, 0, float(counts.sum()), float(len(words)))]
-                for s, tables in enumerate(samples or [None]):
-                    for level, (c, t, one, two) in enumerate(Towers(words, pairs, counts, tables).totals()):
-                        at = np.nonzero(c)[0]
-                        rows += [(s, level, int(r), float(c[r]), float(t[r])) for r in at]
-                        rows.append((s, level, -1, float(one), float(two)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], names=["sample", "level", "r", "a", "b"])
-
-    found = state.mapInArrow(run, "sample int, level int, r int, a double, b double").groupBy("sample", "level", "r").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-    rows = list(zip(*(found.column(c).to_pylist() for c in ("sample", "level", "r", "a", "b")), strict=True))
-    n, v = next(((int(a), int(b)) for s, _, _, a, b in rows if s == -1), (0, 0))
-    many = max([s for s, *_ in rows], default=0) + 1
-    totals = [[[np.zeros(z), np.zeros(z)] for z in SIZES] for _ in range(many)]
-    ones = np.zeros((3, 2))
-    for s, level, r, a, b in rows:
-        if s >= 0 and r >= 0:
-            totals[s][level][0][r], totals[s][level][1][r] = a, b
-        elif s == 0:
-            ones[level] = a, b
-    return n, v, totals, ones
-
-
-def _sampled(spark, state: DataFrame, totals, d, v: int, sweeps: int, samples: int, seed: int) -> DataFrame:
-    """Sweeps over every bucket; the tables of the last ``samples`` of them are kept."""
-    shared = spark.sparkContext.broadcast((totals, d, v))
+    return run
 
-    def run(batches):
-        sums, d, v = shared.value
-        for batch in batches:
-            for b, x in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
-                words, pairs, counts, old = (*pickle.loads(x.as_py()), None)[:4]
-                rng = np.random.default_rng((seed, b, int(words[0] % np.uint64(2**31))))
-                x = Towers(words, pairs, counts, old[-1] if old else None)
-                here, kept = [[c.copy(), t.copy()] for c, t in sums], []
-                for k in range(sweeps):
-                    x.sweep(here, d, v, rng)
-                    if k >= sweeps - samples:
-                        kept.append(tuple(_small(np.asarray(t)) for t in x.tables))
-                kept = [tuple(t.astype(np.int64) for t in s) if samples == 1 else s for s in kept]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pickle.dumps((words, pairs, counts, kept), 5)], pa.binary())], names=["bucket", "data"])
 
-    return state.mapInArrow(run, "bucket int, data binary")
+def _first_sums(batches):
+    """Of cells: dishes of one and two customers, and the totals of contexts in several cells."""
+    for batch in batches:
+        for x in map(Cell, batch.column("state")):
+            c, t = x.totals()
+            rows = [(-1, [float((x.c == 1).sum()), float((x.c == 2).sum())])] + [(int(h), [float(c[k]), float(t[k])]) for k, h in zip(x.here.tolist(), x.heavy.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], names=["root", "sums"])
 
 
-def _wide(samples):
-    return [tuple(t.astype(np.int64) for t in s) for s in samples]
+def _added(df: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """The sums by ``root`` of lists of n numbers: a row for all, and one for each of at most HEAVY contexts."""
+    rows = df.groupBy("root").agg(*[F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(n)]).collect()
+    return {r[0]: np.array([x or 0.0 for x in r[1:]]) for r in rows}
 
 
-def _heavy(state: DataFrame, least: float) -> tuple:
-    """The towers of words with more than ``least`` customers: at most HEAVY words."""
+def _by_heavy(sums: dict[int, np.ndarray], many: int) -> tuple[np.ndarray, np.ndarray]:
+    c, t = np.zeros(many), np.zeros(many)
+    for k, x in sums.items():
+        if k is not None and k >= 0:
+            c[k], t[k] = x[:2]
+    return c, t
+
+
+# ---------------------------------------------------------------- scores
 
-    def run(batches):
-        for batch in batches:
-            for x in batch.column("data"):
-                words, pairs, counts, samples = pickle.loads(x.as_py())
-                total = np.bincount(pairs // SIZES[2], counts, len(words))
-                own = np.nonzero(total > least)[0]
-                if len(own):
-                    full = Towers(words, pairs, counts)
-                    on = [np.isin(k // z, own) for k, z in zip(full.keys, SIZES, strict=True)]
-                    number = np.full(len(words), -1)
-                    number[own] = np.arange(len(own))
-                    p = pairs[on[2]]
-                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((words[own], number[p // SIZES[2]] * SIZES[2] + p % SIZES[2], counts[on[2]], [tuple(t[o] for t, o in zip(s, on, strict=True)) for s in _wide(samples)]), 5)], pa.binary())], names=["data"])
-
-    parts = [pickle.loads(r["data"]) for r in state.mapInArrow(run, "data binary").collect()]
-    words = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-    order = np.argsort(words, kind="stable")
-    place = np.empty(len(words), np.int64)
-    place[order] = np.arange(len(words))
-    at = np.cumsum([0] + [len(p[0]) for p in parts])
-    pairs = np.concatenate([place[a + p[1] // SIZES[2]] * SIZES[2] + p[1] % SIZES[2] for a, p in zip(at, parts, strict=False)]) if parts else np.zeros(0, np.int64)
-    counts = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
-    mids = np.concatenate([place[a + k // SIZES[1]] * SIZES[1] + k % SIZES[1] for a, p in zip(at, parts, strict=False) for k in [Towers(*p[:3]).keys[1]]]) if parts else np.zeros(0, np.int64)
-    by = [order, np.argsort(mids, kind="stable"), np.argsort(pairs, kind="stable")]
-    many = len(parts[0][3]) if parts else SAMPLES
-    samples = [tuple(np.concatenate([p[3][s][level] for p in parts])[by[level]] if parts else np.zeros(0, np.int64) for level in range(3)) for s in range(many)]
-    return words[order], pairs[by[2]], counts[by[2]], samples
-
-
-def _asked(deal: int, shared):
-    """Of packs of documents: heavy words' sums, and for each bucket its pairs and who holds them."""
+
+def _answered(shared):
+    """Of cells: sums of log probabilities, base and known tokens for the documents of each pack."""
+
+    def out(held):
+        rows = [(name, packed(_small(at := np.nonzero(s[2])[0]), s[0][at], s[1][at], _small(s[2][at].astype(np.int64)), _small(s[3][at].astype(np.int64))), None) for name, s in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["pack", "data", "long"])
 
     def run(batches):
-        heavy = Samples(*shared.value[0], *shared.value[1:])
-        tokens = Tokens()
-        task = TaskContext.get().partitionId()
-        for nth, (part, texts) in enumerate(text_slices(batches, "t", PACK)):
-            code, ctx, doc = tokens(texts)
-            words, inv = np.unique(code, return_inverse=True)
-            pair, of_pair = np.unique(inv * SIZES[2] + ctx, return_inverse=True)
-            of, ctx = pair // SIZES[2], pair % SIZES[2]
-            log, base, known = heavy.score(words, of, ctx)
-            here = known[of][of_pair]
-            docs = len(texts)
-            sums = [np.bincount(doc[here], x[here], docs) for x in (log[of_pair], base[of][of_pair], np.ones(len(doc)))]
-            name = task << 32 | nth  # the same when a lost task runs again
-            rows = [(name % deal, name, None, pickle.dumps((part.column("i").to_pylist(), part.column("held_out").to_pylist(), np.bincount(doc, minlength=docs), *sums), 5))]
-            away = np.nonzero(~here)[0]
-            held, many = np.unique(of_pair[away] * docs + doc[away], return_counts=True)
-            p, who = held // docs, held % docs
-            bucket = ((words >> np.uint64(16)) % np.uint64(deal)).astype(np.int64)[of[p]]
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(deal + 1))
-            for b in range(deal):
-                x = order[cut[b] : cut[b + 1]]
-                if len(x):
-                    own, first = np.unique(p[x], return_index=True)
-                    mine, start = np.unique(of[own], return_index=True)
-                    rows.append((b, name, pickle.dumps((words[mine], _small(np.diff(np.append(start, len(own)))), _small(ctx[own]), _small(np.diff(np.append(first, len(x)))), _small(who[x]), _small(many[x])), 5), None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "pack", "data", "head"])
+        before, heavy_totals, n, v, most = shared.value
+        held: dict[int, list[np.ndarray]] = {}
+        docs_held = 0
+        for batch in batches:
+            for b, state, lists, counts in zip(batch.column("cell").to_pylist(), batch.column("state"), batch.column("lists"), batch.column("counts").to_pylist(), strict=True):
+                x = Cell(state)
+                total = np.concatenate([unpacked(c)[1].astype(np.int64) for _, c in sorted((r["root"], r["data"]) for r in counts)])
+                log = np.log10((x.acc + x.probabilities(heavy_totals, *before)) / SAMPLES)
+                base, known = np.log10((total + 1) / (n + v + 1))[x.word], (total > 0)[x.word]
+                rows = []
+                for name, data in pickle.loads(lists.as_py()):
+                    step, many, docs = unpacked(data)
+                    at = np.cumsum(step, dtype=np.int64)
+                    long = many >= LONG
+                    if long.any():
+                        k = at[long]
+                        rows.append((name, None, packed(np.array([b]), log[k], base[k], known[k].astype(np.uint8))))
+                    if len(docs):
+                        k = np.repeat(at[~long], many[~long])
+                        size = int(docs.max()) + 1
+                        new = [np.bincount(docs, y[k], size) for y in (log, base)] + [np.bincount(docs, minlength=size), np.bincount(docs, known[k], size)]
+                        old = held.get(name)
+                        if old is None or len(old[0]) < size:
+                            docs_held += size - (0 if old is None else len(old[0]))
+                            held[name] = [y if old is None else y + np.pad(o, (0, size - len(o))) for y, o in zip(new, old or new, strict=True)]
+                        else:
+                            for o, y in zip(old, new, strict=True):
+                                o[:size] += y
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["pack", "data", "long"])
+                if docs_held > most:
+                    yield out(held)
+                    held, docs_held = {}, 0
+        if held:
+            yield out(held)
+        del held
+        release()
 
     return run
 
 
-def _answered(deal: int, shared):
-    """Of a bucket: sums of its words' scores for the documents of each pack."""
-
-    def run(asked: pa.Table, state: pa.Table) -> pa.Table:
-        names, rows, packs, sums = [], [], [], []
-        for pack, data, head in zip(asked.column("pack").to_pylist(), asked.column("data"), asked.column("head"), strict=True):
-            if head.is_valid:
-                rows.append((pack, None, head.as_py()))
-                continue
-            words, per_word, ctx, per_pair, who, many = pickle.loads(data.as_py())
-            docs, inv = np.unique(who, return_inverse=True)
-            names.append((pack, docs))
-            packs.append((words, _part(words, deal), per_word, ctx, per_pair, _small(inv), many))
-            sums.append([np.zeros(len(docs)) for _ in range(3)])
-        states = {}
-        for k, x in enumerate(state.column("data")):
-            states[int(_part(pickle.loads(x.as_py())[0][:1], deal)[0])] = k
-        for part in range(PARTS if packs else 0):
-            if part in states:
-                words, pairs, counts, samples = pickle.loads(state.column("data")[states[part]].as_py())
-                samples = _wide(samples)
+def _merged(kind, n: int):
+    def run(heads: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, out, tokens, cell, many, docs = pickle.loads(heads.column("head")[0].as_py())
+        log, base, known = (np.zeros(len(ids)) for _ in range(3))
+        many, cell = many.astype(np.int64), cell.astype(np.int64)
+        edge, first = np.append(0, np.cumsum(many)), np.searchsorted(cell, np.arange(cell.max(initial=-1) + 2))
+        for data, long in zip(answers.column("data"), answers.column("long"), strict=True):
+            if data.is_valid:
+                at, a, b, _, k = unpacked(data)
+                log[at] += a
+                base[at] += b
+                known[at] += k
             else:
-                words, pairs, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                samples = [(pairs, pairs, pairs)] * len(shared.value[1])
-            model = Samples(words, pairs, counts, samples, *shared.value[1:])
-            for (words, own, per_word, ctx, per_pair, inv, many), total in zip(packs, sums, strict=True):
-                on = own == part
-                if not on.any():
-                    continue
-                pairs_on = np.repeat(on, per_word)
-                rows_on = np.repeat(pairs_on, per_pair)
-                of = np.repeat(np.arange(on.sum()), per_word[on])
-                log, base, known = model.score(words[on], of, ctx[pairs_on].astype(np.int64))
-                at, to, n = np.repeat(np.arange(len(of)), per_pair[pairs_on]), inv[rows_on], many[rows_on]
-                for t, x in zip(total, (log[at], base[of][at], known[of][at].astype(float)), strict=True):
-                    t += np.bincount(to, x * n, len(t))
-        rows += [(pack, pickle.dumps((_small(docs), a, b, _small(np.rint(c).astype(np.int64))), 5), None) for (pack, docs), (a, b, c) in zip(names, sums, strict=True)]
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["pack", "data", "head"])
+                own, a, b, k = unpacked(long)
+                lo, hi = first[own[0]], first[own[0] + 1]
+                who, each = docs[edge[lo] : edge[hi]], many[lo:hi]
+                for total, y in ((log, a), (base, b), (known, k)):
+                    total += np.bincount(who, np.repeat(y, each), len(ids))
+        cols = [pa.array(ids, kind), pa.array(out, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(ids), n), pa.int64()), pa.array(base), pa.array(log)]
+        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, folds: int = 7, out_fold: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, burn_in: int = BURN_IN, seed: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text)."""
     spark = docs.sparkSession
-    deal = max(6, buckets(spark) // 3)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(spark)
+    cells = 2 * buckets(spark)
+    rng = np.random.default_rng(seed)
     bare = docs.select(F.col("doc_id").alias("i"), (crc_mod("doc_id", folds) == out_fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("t"))
-    state = written(bare.where(~F.col("held_out")).mapInArrow(_counted(deal), "bucket int, data binary").groupBy("bucket").applyInArrow(_gathered(deal), "bucket int, data binary"), "lz4")
-    n, v, totals, ones = _sums(state.df())
-    d = [float(np.clip(a / (a + 2 * b), 0.1, 0.95)) if a + b else 0.5 for a, b in ones]
-    burnt = written(_sampled(spark, state.df(), totals[0], d, v, BURN_IN, 1, 1), "lz4")
-    state.drop()
-    _, _, totals, _ = _sums(burnt.df())
-    ready = written(_sampled(spark, burnt.df(), totals[0], d, v, SAMPLES, SAMPLES, 2), "lz4")
-    burnt.drop()
-    _, _, totals, _ = _sums(ready.df())
-    if len(totals) < SAMPLES:
-        totals = totals * SAMPLES
+    heavy = _heavy(bare, cells)
+    dealt = bare.mapInArrow(_packs(cells, heavy), "cell int, pack long, data binary, head binary")
+    made = written(dealt.groupBy("cell").applyInArrow(_gathered(cells, heavy), "cell int, pack long, words binary, state binary, lists binary, head binary"))
     tidy(spark)
-    shared = spark.sparkContext.broadcast((_heavy(ready.df(), max(1.0, n / HEAVY)), totals, d, n, v))
-    asked = bare.mapInArrow(_asked(deal, shared), "bucket int, pack long, data binary, head binary")
-    answers = asked.groupBy("bucket").cogroup(ready.df().groupBy("bucket")).applyInArrow(_answered(deal, shared), "pack long, data binary, head binary")
-    kinds = pa.schema([("i", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])]).field("i").type
-
-    def merge(table: pa.Table) -> pa.Table:
-        ids, out, tokens, log, base, known = pickle.loads(next(h for h in table.column("head") if h.is_valid).as_py())
-        for x in table.column("data"):
-            if x.is_valid:
-                who, a, b, c = pickle.loads(x.as_py())
-                log[who] += a
-                base[who] += b
-                known[who] += c
-        cols = [pa.array(ids, kinds), pa.array(out, pa.bool_()), pa.array(tokens, pa.int64()), pa.array(np.rint(known).astype(np.int64)), pa.array(np.full(len(ids), n), pa.int64()), pa.array(base), pa.array(log)]
-        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return answers.groupBy("pack").applyInArrow(merge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    first = made.df().where("words is not null")
+    roots = written(first.select("cell", "words").mapInArrow(_first_up, "root int, cell int, data binary").groupBy("root").applyInArrow(_rooted, "root int, state binary, n double, v double"))
+    n, v = (int(x or 0) for x in roots.df().agg(F.sum("n"), F.sum("v")).first())
+    sums = _added(first.select("state").mapInArrow(_first_sums, "root int, sums array<double>"), 2)
+    totals = _by_heavy(sums, len(heavy[0]))
+    one, two = sums.get(-1, np.zeros(2))
+    d = float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
+    s, weight, before = 1.0, 1.0, None
+    state, ups, old = first.select("cell", "state"), None, None
+    for turn in range(burn_in + SAMPLES):
+        empty = spark.createDataFrame([], "root int, cell int, data binary")
+        last = turn == burn_in + SAMPLES - 1
+        sent = roots.df().groupBy("root").cogroup((ups if ups is not None else empty).groupBy("root"))
+        down = written(sent.applyInArrow(_down(weight, seed * 1000 + turn, last), "cell int, root int, data binary, g double, log_g double"))
+        g, log_g = (x or 0.0 for x in down.df().agg(F.sum("g"), F.sum("log_g")).first())
+        unknown = float(rng.standard_gamma(weight))
+        norm = g + unknown
+        if v:
+            weight = drawn(rng, WEIGHTS, weight_log(v + 1, log_g + np.log(max(unknown, 1e-300)) - (v + 1) * np.log(norm)))
+        shared = spark.sparkContext.broadcast((seed * 1000 + turn, norm, unknown, s, d, rng.standard_gamma(s / d + totals[1]), before, totals))
+        swept = state.groupBy("cell").cogroup(down.df().where("cell >= 0").select("cell", "root", "data").groupBy("cell")).applyInArrow(_swept(cells, shared), "cell int, root int, state binary, sums array<double>, up binary")
+        new = written(swept)
+        before = (s, d) if turn >= burn_in else None
+        added = _added(new.df().where("cell < 0").select(F.when(F.col("cell") == -1, -1).otherwise(F.col("root")).alias("root"), "sums"), len(STRENGTHS))
+        totals = _by_heavy(added, len(heavy[0]))
+        logs = added.get(-1, np.zeros(len(STRENGTHS))) + strength_log(totals[1], totals[0], d)
+        s = drawn(rng, STRENGTHS, logs)
+        if old is not None:
+            old.drop()
+        if not last:
+            down.drop()
+        old, state = new, new.df().where("state is not null").select("cell", "state")
+        ups = new.df().where("up is not null").select("root", "cell", F.col("up").alias("data"))
+        tidy(spark)
+    roots.drop()
+    counts = down.df().where("cell >= 0").groupBy("cell").agg(F.collect_list(F.struct("root", "data")).alias("counts"))
+    shared = spark.sparkContext.broadcast((before, totals, n, v, 300_000))
+    asked = state.hint("merge").join(first.select("cell", "lists"), "cell").join(counts.hint("merge"), "cell").select("cell", "state", "lists", "counts")
+    answers = asked.mapInArrow(_answered(shared), "pack long, data binary, long binary")
+    heads = made.df().where("head is not null").select("pack", "head")
+    kind = docs.schema["doc_id"].dataType
+    out = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return heads.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_merged(to_arrow_type(kind), n), out)
 
 
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
