@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import fractions
 import hashlib
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from acopio.llm import ann, chat, graph, top_k
+from acopio.llm import vectors as vec
 
 
 @pytest.fixture(scope="module")
@@ -24,25 +26,102 @@ def brute(scores, own, k):
     return [(int(i), scores[i]) for i in ids]
 
 
-def test_top_k_is_exact(vectors):
+def whole_scores(x, q):
+    """Exact integer products, with Python's integers."""
+    f = lambda r: [int(fractions.Fraction(float(v)) * 256 // 1) for v in r]
+    q = f(q)
+    return [sum(a * b for a, b in zip(f(r), q, strict=True)) for r in x]
+
+
+@pytest.mark.parametrize("shard", [16_384, 40])
+def test_top_k_is_exact(vectors, monkeypatch, shard):
+    """One shard, and many cells of which a query opens those that may hold better."""
+    monkeypatch.setattr(vec, "SHARD_ROWS", shard)
+    monkeypatch.setattr(vec, "BLOCK_ROWS", 5)
     df, x = vectors
     rows = top_k.top_k(df, df.where("vec_id % 50 = 0"), 5).collect()
-    whole = np.floor(256 * x).astype(int)
     got = {}
-    for r in sorted(rows, key=lambda r: r.rank):
+    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     for q in range(0, 600, 50):
-        zero = 0  # row 1003 is a candidate with score 0
-        want = sorted([(-int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q] + [(zero, 1003)])[:5]
+        # row 1003 is a candidate with score 0
+        want = sorted([(-s, i) for i, s in enumerate(whole_scores(x, x[q])) if i != q] + [(0, 1003)])[:5]
         assert got[q] == [(i, -s) for s, i in want]
-    assert 1000 in [r.query_id for r in rows] or 1000 not in got
-
-
-def test_top_k_of_large_values(spark):
-    df = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1e17, 3.0]), (50, [3.0, 1e17])], "vec_id long, embedding array<double>")
-    rows = {(r.query_id, r.rank): (r.vec_id, r.score) for r in top_k.top_k(df, df.where("vec_id % 50 = 0")).collect()}
-    assert rows[0, 1][0] == 1 and rows[0, 1][1] == 2**63 - 1
-    assert len(rows) == 6
+    assert set(got) == {*range(0, 600, 50)}  # 1000 has no vector
+    assert top_k.top_k(df.where("1 = 0"), df).count() == 0 and top_k.top_k(df, df.where("1 = 0")).count() == 0
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0], "x"), (0, [1.0, 0.0], "x"), (1, [0.5, 0.0], "y"), (1, [0.5, 0.0], "y"), (2, [0.5, 9.0], "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 32768), (0, 2, 1, 32768), (0, 3, 2, 32768)]
+    near = [(r.query_id, r.vec_id) for r in ann.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert near == [(0, 1), (0, 1), (0, 2)]
+
+
+@pytest.mark.parametrize(("scale", "dim"), [(7.0, 1536), (1e9, 8), (1e30, 4), (1e200, 3)])
+def test_top_k_of_large_values(spark, scale, dim):
+    """The same tree whatever the range: beyond 2**53 scores are those of Python's integers."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((150, dim)) * scale
+    x[20:60] = x[20]
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k.top_k(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 50, 100):
+        s = whole_scores(x, x[q])
+        want = sorted((i for i in range(150) if i != q), key=lambda i: (-s[i], i))[:5]
+        clamped = [max(-(2**63), min(2**63 - 1, s[i])) for i in want]
+        if len(set(clamped)) == len({s[i] for i in want}):
+            assert [(i, v) for _, i, v in sorted(got[q])] == list(zip(want, clamped, strict=True))
+        else:  # scores no long can tell apart
+            assert sorted(v for _, _, v in got[q]) == sorted(clamped)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cover_tree(seed):
+    """Nesting, separation and covering at every node."""
+    rng = np.random.default_rng(seed)
+    x = np.floor(256 * (rng.standard_normal((400, 3)) * np.exp(2 * rng.standard_normal((400, 1)))))
+    x[50:120] = x[50]
+    tree = top_k.CoverTree(x, leaf=4)
+    rows = x[tree.order]
+    assert sorted(tree.order) == list(range(400)) and len(tree.level) > 50
+    for k in range(len(tree.level)):
+        own, centre = rows[tree.first[k] : tree.last[k]], x[tree.centres[k]]
+        far = np.sqrt(((own - centre) ** 2).sum(1)).max()
+        assert far <= tree.radius[k] + 1e-6 and far <= 2.0 ** tree.level[k] * (1 + 1e-9)
+        kids = np.arange(tree.child[k], tree.end[k])
+        if len(kids):
+            assert (tree.centres[kids] == tree.centres[k]).any()
+            assert tree.first[kids[0]] == tree.first[k] and tree.last[kids[-1]] == tree.last[k] and (tree.first[kids[1:]] == tree.last[kids[:-1]]).all()
+            c = x[tree.centres[kids]]
+            d = np.sqrt(((c[:, None] - c) ** 2).sum(2)) + 1e18 * np.eye(len(c))
+            assert (d > 2.0 ** tree.level[kids[0]] * (1 - 1e-9)).all()
+
+
+def test_recall_on_the_larger_table(spark):
+    """Every query against every row of sf0.1."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in ann.valid(df, zero=False).collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for cells in (16_384, 600):
+        vec.SHARD_ROWS, old = cells, vec.SHARD_ROWS
+        try:
+            got = {}
+            for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+                got.setdefault(r.query_id, set()).add(r.vec_id)
+        finally:
+            vec.SHARD_ROWS = old
+        hits = total = 0
+        for q in np.nonzero(ids % 20 == 0)[0]:
+            s = x @ x[q]
+            s[q] = -np.inf
+            want = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+            hits, total = hits + len(want & got[ids[q]]), total + 20
+        assert hits / total >= 0.95
 
 
 def test_neighbours(vectors, spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -149,6 +150,49 @@ def test_forward_backward(seed):
             b /= b.sum()
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_pair_probabilities(seed):
+    """Against the sum over every labelling of short sequences."""
+    rng = np.random.default_rng(seed)
+    starts = np.array([0, 1, 5, 9])
+    e, a, first = rng.random((9, 3)) + 0.01, rng.random((3, 3)) ** 3 + 0.01, rng.random(3) + 0.1
+    want, own = np.zeros((3, 3)), np.zeros((9, 3))
+    for s, z in zip(starts, starts[1:], strict=False):
+        found = []
+        for y in itertools.product(range(3), repeat=int(z - s)):
+            found.append((first[y[0]] * np.prod([e[s + k, y[k]] for k in range(z - s)]) * np.prod([a[y[k - 1], y[k]] for k in range(1, z - s)]), y))
+        total = sum(w for w, _ in found)
+        for w, y in found:
+            for k in range(z - s):
+                own[s + k, y[k]] += w / total
+                if k:
+                    want[y[k - 1], y[k]] += w / total
+    pairs = np.zeros((3, 3))
+    assert np.allclose(language._forward_backward(e, starts, a, first, pairs), own) and np.allclose(pairs, want)
+    language.BLOCK, old = 2, language.BLOCK  # the same across blocks
+    try:
+        pairs = np.zeros((3, 3))
+        assert np.allclose(language._forward_backward(e, starts, a, first, pairs), own) and np.allclose(pairs, want)
+    finally:
+        language.BLOCK = old
+
+
+def test_crf_learns_transitions():
+    """Sequences whose words say nothing: only transitions and starts can tell the labels."""
+    runs = [("ab"[k % 2], ["x" if k % 2 == 0 else "y"] * 20) for k in range(60)]
+    crf = language.Crf(slots=1 << 10).fit(runs, epochs=6)
+    assert crf.a[0, 0] > crf.a[0, 1] and crf.a[1, 1] > crf.a[1, 0] and crf.first.shape == (2,)
+
+
+def test_keep(spark, odd, nothing):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs, sample=100)
+    stays = language.keep(odd, model, 0.0)
+    assert stays.columns == odd.columns
+    assert sorted(map(str, (r.text for r in stays.collect()))) == sorted(str(t) for t in [*odd.rdd.map(lambda r: r.text).collect()] if any(map(str.isalpha, t or "")))
+    assert language.keep(nothing, model).count() == 0
+
+
 def test_near_duplicates(spark, odd, nothing, some):
     def brute(df, percent):
         sets = {}
@@ -264,23 +308,122 @@ def test_language_model(odd, nothing, some):
     assert language_model.score(nothing).count() == 0
 
 
+def stirling(c, d):
+    """Generalised Stirling numbers S(c, 1..c) of discount d."""
+    row = np.array([1.0])
+    for n in range(1, c):
+        row = np.append((n - d * np.arange(1, n + 1)) * row, 0) + np.append(0, row)
+    return row
+
+
+@pytest.mark.parametrize(("c", "lam", "d"), [(2, 0.01, 0.5), (3, 2.0, 0.8), (7, 0.3, 0.2), (12, 5.0, 0.6), (40, 1.5, 0.9), (40, 30.0, 0.4)])
+def test_seating(c, lam, d):
+    """Seating jumps with the Metropolis ratio, against the exact distribution of tables."""
+    rng, many = np.random.default_rng(1), 40_000
+    x, n = np.full(many, lam), np.full(many, c)
+    opened, when = np.full(many, c - 1), np.tile(np.arange(1, c), many)  # everybody alone, to begin with
+    for _ in range(60):
+        opened, when = language_model.resat(n, opened, when, x, d, rng)
+        assert len(when) == opened.sum()
+    want = stirling(c, d) * lam ** np.arange(1, c + 1)
+    assert np.abs(np.bincount(opened, minlength=c) / many - want / want.sum()).max() < 0.012
+    own = np.split(when, np.cumsum(opened)[:-1])
+    assert all((np.diff(o) > 0).all() and (o >= 1).all() and (o < c).all() for o in own[:500])
+    again, moments, log = language_model.seated(n, x, d, None, opened, when)
+    assert (again == opened).all() and (moments == when).all()
+
+    def ratio(o):
+        """Target over proposal, customer by customer."""
+        t, out = 1, 0.0
+        for k in range(1, c):
+            y = lam * (min(2 ** k.bit_length(), c) / c) ** d
+            if k in o:
+                out, t = out + math.log(lam) - math.log(y / (y + k - d * t)), t + 1
+            else:
+                out += math.log(y + k - d * t)
+        return out
+
+    assert np.allclose(log[:50], [ratio(set(o.tolist())) for o in own[:50]])
+
+
+def test_seating_of_very_many_customers():
+    rng = np.random.default_rng(1)
+    c = np.array([10**12, 10**9, 2, 1])
+    opened, when, _ = language_model.seated(c, np.array([200.0, 0.5, 1.0, 1.0]), 0.7, rng)
+    assert 50 < opened[0] < 2000 and opened[3] == 0 and len(when) == opened.sum()
+    x = np.array([1e-9, 0.3, 1, 2.5, 10, 1e6, 1e12])
+    assert np.allclose(language_model.lgamma(x), [math.lgamma(v) for v in x])
+
+
+def test_model_against_one_customer_at_a_time():
+    """Averaged predictions of a small corpus: our steps against removing and seating single customers."""
+    rng, d, s, weight = np.random.default_rng(3), 0.6, 1.3, 0.5
+    data = {(0, 0): 6, (0, 1): 2, (0, 2): 1, (1, 0): 3, (1, 2): 4, (2, 1): 9, (2, 3): 1}
+    v, contexts, rounds = 4, 3, 4_000
+    pairs = sorted(data)
+    u, w = (np.array([p[k] for p in pairs]) for k in (0, 1))
+    c, many, when, mine = np.array([data[p] for p in pairs]), np.zeros(len(pairs), np.int64), np.zeros(0, np.int64), np.zeros((contexts, v))
+    for _ in range(rounds):
+        g = rng.standard_gamma(weight + np.append(np.bincount(w, many + 1, v), 0))
+        share = g / g.sum()
+        many, when = language_model.sweep(u, c, many, when, w, share, contexts, s, d, rng)
+        t = many + 1
+        own = np.zeros((contexts, v))
+        own[u, w] = c - d * t
+        mine += (own + (s + d * np.bincount(u, t, contexts))[:, None] * share[:v]) / (s + np.bincount(u, c, contexts))[:, None]
+    tables, theirs = {p: [1] * n for p, n in data.items()}, np.zeros((contexts, v))
+    root = lambda: np.array([sum(len(x) for (_, b), x in tables.items() if b == k) for k in range(v)])
+    for turn in range(rounds):
+        for (a, b), x in tables.items():
+            for _ in range(data[a, b]):
+                k = rng.choice(len(x), p=np.array(x) / sum(x))
+                x[k] -= 1
+                if not x[k]:
+                    x.pop(k)
+                r, total = root(), sum(len(y) for (e, _), y in tables.items() if e == a)
+                new = (s + d * total) * (r[b] + weight) / (r.sum() + weight * (v + 1))
+                p = np.array([n - d for n in x] + [new])
+                k = rng.choice(len(p), p=p / p.sum())
+                if k == len(x):
+                    x.append(1)
+                else:
+                    x[k] += 1
+        if turn >= 100:
+            r = root()
+            for a in range(contexts):
+                total = sum(len(y) for (e, _), y in tables.items() if e == a)
+                n = sum(k for (e, _), k in data.items() if e == a)
+                for b in range(v):
+                    theirs[a, b] += (max(data.get((a, b), 0) - d * len(tables.get((a, b), [])), 0) + (s + d * total) * (r[b] + weight) / (r.sum() + weight * (v + 1))) / (s + n)
+        if turn == 1_000:
+            break
+    mine, theirs = mine / rounds, theirs / (turn - 99)
+    assert np.abs(mine - theirs).max() < 0.012
+
+
 def test_probabilities_sum_to_one():
-    """Over all known words and one unknown, in any context, for sampled seatings."""
-    rng = np.random.default_rng(0)
-    words = np.unique(rng.integers(1, 2**40, 30, np.uint64) << np.uint64(16) | rng.integers(0, 9, 30).astype(np.uint64))
-    pairs = np.unique(rng.integers(0, len(words), 200) * language_model.SIZES[2] + rng.choice([5, 261, 7, 65536], 200))
-    counts = rng.integers(1, 200, len(pairs))
-    x = language_model.Towers(words, pairs, counts)
-    d, v = [0.5, 0.6, 0.7], len(words)
-    totals = [[c.astype(float), t.astype(float)] for c, t, _, _ in x.totals()]
-    samples, sums = [], []
+    """Over all known words and one unknown, in every context of a cell, as it is scored."""
+    rng, many, words, d, s = np.random.default_rng(0), 5, 30, 0.7, 2.0
+    count = rng.integers(0, 4, (many, words)) * rng.integers(0, 60, (many, words))
+    count[:, -1] = 0  # the unknown word
+    g = rng.standard_gamma(0.5, words).astype(np.float32)
+    n = language_model._small
+    whole = np.zeros(0, np.int64)
+    x = language_model.Cell(language_model.packed(n(np.full(many, words)), n(np.tile(np.arange(words), many)), n(count.ravel()), n(0 * count.ravel()), n(whole), np.zeros(0, np.float32), (g / g.sum()).astype(np.float32), whole, whole, np.array([words])))
     for _ in range(3):
-        x.sweep(totals, d, v, rng)
-        assert all((t >= 1).all() and (t <= x.customers(k)).all() for k, t in enumerate(x.tables) if k == 2)
-        samples.append(tuple(np.minimum(t, x.customers(k)) for k, t in enumerate(x.tables)))
-        sums.append([[c, t] for c, t, _, _ in language_model.Towers(words, pairs, counts, samples[-1]).totals()])
-    model = language_model.Samples(words, pairs, counts, samples, sums, d, int(counts.sum()), v)
-    every = np.append(words, np.uint64(2**63 + 12345))
-    for ctx in (5, 261, 7, 65536, 99):
-        log, _, known = model.score(every, np.arange(len(every)), np.full(len(every), ctx))
-        assert math.isclose((10**log).sum(), 1, rel_tol=1e-6) and known.sum() == len(words)
+        x.opened, x.when = language_model.sweep(x.u, x.c, x.opened, x.when, x.word, x.share, x.many, s, d, rng)
+        assert (x.t[x.c > 0] >= 1).all() and (x.t <= x.c).all()
+        p = x.probabilities(None, s, d).reshape(many, words)
+        assert np.allclose(p.sum(1), 1, rtol=1e-6)
+        x = language_model.Cell(x.packed())
+
+
+def test_scores_do_not_depend_on_dealing(spark, some, monkeypatch):
+    """Frequent pairs and contexts take other ways; sums stay those of the texts."""
+    plain = {(r.doc_id, r.n_tokens): r for r in language_model.score(some).collect()}
+    monkeypatch.setattr(language_model, "LONG", 3)
+    monkeypatch.setattr(language_model, "PACK", 1 << 16)
+    for r in language_model.score(some).collect():
+        p = plain[r.doc_id, r.n_tokens]
+        assert (r.n_known, r.train_tokens, r.held_out) == (p.n_known, p.train_tokens, p.held_out) and math.isclose(r.base_score, p.base_score, rel_tol=1e-9)
+        assert abs(r.score - p.score) < 0.05 * abs(p.score) + 1
