@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from acopio.llm.shared import add_columns, crc_mod, where_text, written
+from acopio.llm.shared import add_columns, crc_mod, small_batches, where_text, written
 
 NONE = "und"
 BLOCK, RUN = 64, 25
@@ -233,6 +233,7 @@ def _chosen(some: DataFrame, sample: int) -> DataFrame:
 
 def fit(docs: DataFrame, folds: int = 5, sample: int = 1_000) -> Crf:
     """Learn from text and lang of at most ``sample`` documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     some = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", folds) != 0))
     ids = written(some.select("doc_id", "lang"))  # the texts are read once to choose, not once a step
     chosen = _chosen(ids.df(), sample)

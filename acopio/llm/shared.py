@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one slice of a batch holds at most (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
 #: Rows of an Arrow batch of whole texts.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts travel to Python in Arrow batches of at most ``rows`` rows from now on in this
+    """Whole texts are read and travel to Python in batches of at most ``rows`` rows from now on in this
     session: a batch is held by both sides, so it counts several times against an executor."""
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(key)) <= rows:
+            spark.conf.set(key, str(rows))
 
 
 def release() -> None:
