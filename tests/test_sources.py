@@ -24,12 +24,59 @@ def test_bodies_page():
         portal.bodies("<select id='organoA'></select>")
 
 
+def page(body="", state="Adxudicado", obxecto="Obra  nova"):
+    """A record as the portal prints it: the empty copy of a label first, outside the main block."""
+    return f"""<html><div class='acordoMarco'><dl><dt>Obxecto</dt><dd></dd></dl></div>
+        <p>Estado do procedemento: <em> {state} </em></p><div class="infoReferencia row"><dl><dt>Outra</dt><dd>x</dd><dt> Referencia </dt><dd> EXP 7/24 </dd></dl></div>
+        <div class="col infoConcurso"><dl><dt>Obxecto</dt><dd> {obxecto} </dd><dt>Obxecto</dt><dd>outro</dd><dt>Nº
+        lotes</dt><dt>Valor estimado</dt><dd>1.234,50 €</dd></dl></div>{body}</html>"""
+
+
+def grid(where, heads, *rows):
+    head = "".join(f"<th><a href='#'> {h} </a></th>" for h in heads)
+    return f"<div id='{where}'><div><table><thead><tr>{head}</tr></thead><tbody>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</tbody></table></div></div>"
+
+
+AWARD = ("Lote", "Part.", "Resolución", "Adxudicatario", "Importe", "Data difusión", "Prazo de execución")
+UTE = "<ul class='list-unstyled'><li>{}</li><ul><li>A70319678 - PRACE SA</li><li>NON-SEI - OUTRA</li></ul></ul>"
+WELL = "<ul><li><span>{}</span><ul><li>A70319678 - PRACE SA</li></ul></li></ul>"
+
+
+def award(lot, part, who="ACME"):
+    return (lot, part, "Adxudicado", who, "1,0", "01-02-2024", "1 mes")
+
+
 def test_records(spark):
-    good = "<dl><dt>Obxecto</dt><dd>Obra</dd><dt>Obxecto</dt><dd>Outra</dd></dl><p>Estado: <em>Aberto</em></p><div id='lotes'><table><tr><th>Descrición</th><th>Lote</th></tr><tr><td>x</td><td>1</td></tr></table></div>"
-    ragged = good.replace("<td>1</td>", "")
-    rows = portal.records(spark.createDataFrame([(1, good), (2, ragged), (3, None)], "id int, html string"), "id", "html").orderBy("key").collect()
-    assert rows[0].labels == {"Obxecto": "Obra"} and rows[0].state == "Aberto" and rows[0].tables["lots"][0]["Lote"] == "1" and rows[0].tables["awards"] == []
-    assert "cells" in rows[1].error and rows[2].error == "no main block"
+    bidders = grid("ventanaModalLicitadores", ("Nome", "Lote", "NIF", "NUT"), (UTE.format("MISTURAS-INGESAN"), "1", "-", ""), ("<ul><li>ACME</li></ul>", "01", "b12345678", "ES"), (WELL.format("UTE Y"), "-", "U1234567", ""))
+    good = page(grid("consulta-resolucion", AWARD, award("01", "2"), award("_", "-")) + bidders + grid("ventanaModalLotes", ("Descrición", "Lote"), ("un", "1"), ("tres", "3")))
+    cases = [good, page(grid("collapseCPV", ("código CPV", "Lote"), ("x", "1"))), page(grid("collapseNUT", ("NUT", "Lote", "Data difusión"), ("x", "1"))), "<p>nada</p>", None, page(state=""), page(grid("consulta-resolucion", AWARD, award("1", "5")) + bidders), page(obxecto="").replace("<dt>Obxecto</dt><dd> ", "<dt>Obxecto</dt><i></i><dd>", 1)]
+    rows = portal.records(spark.createDataFrame(list(enumerate(cases)), "id int, html string"), "id", "html").orderBy("key").collect()
+    r = rows[0]
+    assert r.error is None and r.reference == "EXP 7/24" and r.state == "Adxudicado"
+    assert r.labels == {"Obxecto": "Obra  nova", "Nº lotes": None, "Valor estimado": "1.234,50 €"}
+    assert [a["Lote"] for a in r.tables["awards"]] == ["01", "_"] and r.tables["cpv"] == []
+    assert [(p.lot, p.consortium, p.name, p.fiscal_id) for p in r.parties] == [("1", True, "MISTURAS-INGESAN", None), ("1", False, "ACME", "B12345678"), (None, True, "UTE Y", "U1234567")]
+    assert [(m.name, m.fiscal_id) for m in r.parties[0].members] == [("PRACE SA", "A70319678"), ("NON-SEI - OUTRA", None)] and r.parties[1].members is None
+    assert [(x.lot, x.printed, x.description) for x in r.lots] == [("1", "01", "un"), ("3", "3", "tres")]
+    assert [bool(x.error) for x in rows] == [False, True, True, True, True, True, True, False]
+    assert "Data difusión" in rows[1].error and "cells" in rows[2].error and rows[3].error == rows[4].error == "no main block" and "Estado" in rows[5].error and "5 participants" in rows[6].error
+
+
+def test_carelessly_closed_pages():
+    t = portal.tree("<table><thead><tr><th>a<th>b<tbody><tr><td>1<td>2<tr><td>3<td>4</table><ul><li>x<li>y</ul><p>one<div>two</div><br>three")
+    assert [[c.said() for c in r.all("td")] for r in t.all("tr")] == [[], ["1", "2"], ["3", "4"]]
+    assert [n.said() for n in t.all("li")] == ["x", "y"] and t.first("p").said() == "one"
+
+
+def test_landed_files(spark, tmp_path):
+    for k, body in enumerate(('{"recordsTotal": 2, "data": [{"id": "9", "estado": 1}, {"id": "4", "estado": 2}]}', '{"recordsTotal": 1, "data": [{"id": "5"}]}')):
+        (tmp_path / f"{k}.json").write_text(body)
+    assert [r.id for r in portal.read_listing(spark, str(tmp_path / "*.json")).collect()] == ["4", "9"]
+    options = "".join(f"<option value='{n}'>Órgano {n}</option>" for n in range(60))
+    (tmp_path / "b.html").write_bytes(f"<select id='organoA'>{options}</select>".encode("latin-1"))
+    found = portal.body_rows(portal.read_html(spark, str(tmp_path / "b.html"))).collect()
+    assert len(found) == 60 and found[3].name == "Órgano 3" and found[0].error is None
+    assert portal.body_rows(spark.createDataFrame([("<p>x</p>",)], "html string")).first().error
 
 
 def test_json_pages(spark):
