@@ -1,35 +1,31 @@
-"""Folding of names: exact match keys and search keys."""
+"""Folding of names: exact match keys and search keys, inside codegen."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-_REST = re.compile("[^a-z0-9]+")
 
+@cache
+def _marked() -> tuple[str, str]:
+    """Lower-case letters whose canonical decomposition begins with a to z, and that letter: the rule
+    behind the match key, worked out for the blocks that have any (none lie beyond U+3000)."""
+    found = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0x80, 0x3000) if chr(c) == chr(c).lower()]
+    found = [(a, b) for a, b in found if "a" <= b <= "z"]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
 
-@F.pandas_udf(StringType())
-def name_fold(names: pd.Series) -> pd.Series:
+
+def name_fold(c: Column | str) -> Column:
     """SF9: lower case, decomposed, only a-z and 0-9 kept; null where nothing is left.
 
-    Spark has no Unicode decomposition, so this is the one Arrow function of the cleaning rules.
+    What decomposes to a letter is translated; marks and all else go with the pattern, as they would after
+    decomposition.
     """
-    return names.map(lambda x: None if x is None else _REST.sub("", unicodedata.normalize("NFD", x.lower())) or None)
-
-
-#: Latin letters with marks that decompose, for the version inside codegen.
-_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_TO = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
-def name_fold_latin(c: Column) -> Column:
-    """SF9 for Latin-1 names, inside whole-stage codegen."""
-    return F.nullif(F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), "[^a-z0-9]+", ""), F.lit(""))
+    c = F.col(c) if isinstance(c, str) else c
+    return F.nullif(F.regexp_replace(F.translate(F.lower(c), *_marked()), "[^a-z0-9]+", ""), F.lit(""))
 
 
 def contains_folded(c: Column, query: str) -> Column:

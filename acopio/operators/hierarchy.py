@@ -74,15 +74,42 @@ def prune(terms: DataFrame, bodies: DataFrame) -> DataFrame:
     return terms.join(kept, "id", "left_semi")
 
 
-def search(terms: DataFrame, match) -> DataFrame:
-    """HI5: matching terms, what lies beneath and what leads to them."""
+def search(terms: DataFrame, match, pinned=None) -> DataFrame:
+    """HI5: matching terms, what lies beneath, what leads to them, and a pinned term with what leads to it.
+
+    The closure is made once and read from the checkpoint for all three.
+    """
     c = closure(terms)
     hits = terms.where(match).select("id")
-    up = c.join(hits, "id", "left_semi").select(F.col("ancestor").alias("id"))
+    above = hits if pinned is None else hits.unionByName(terms.where(F.col("id") == pinned).select("id"))
+    up = c.join(above, "id", "left_semi").select(F.col("ancestor").alias("id"))
     down = c.join(hits.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id")
     return terms.join(up.union(down).distinct(), "id", "left_semi")
 
 
+def picker(terms: DataFrame, match, pinned=None) -> DataFrame:
+    """HI5: the terms a search shows, with their depth, in pre-order: children after their parent, by name and id."""
+    shown = search(terms, match, pinned)
+    steps = closure(terms).join(shown.select("id"), "id", "left_semi").join(terms.select(F.col("id").alias("ancestor"), "name"), "ancestor")
+    line = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), F.lower("name").alias("fold"), F.col("ancestor").alias("of"))))
+    rows = steps.groupBy("id").agg(line.alias("p")).select("id", (F.size("p") - 1).alias("depth"), F.transform("p", lambda x: F.struct(x["fold"], x["of"])).alias("acopio_line"))
+    return shown.select("id", "name").join(rows, "id").orderBy("acopio_line").drop("acopio_line")
+
+
+def deleted(terms: DataFrame, gone) -> DataFrame:
+    """UPS18, AG3: terms without one; an error if it has children."""
+    children = terms.where(F.col("parent") == gone)
+    if not children.isEmpty():
+        raise ValueError(f"term {gone} has terms beneath")
+    return terms.where(~F.col("id").eqNullSafe(F.lit(gone)))
+
+
+def with_children(terms: DataFrame) -> DataFrame:
+    """AG3: terms and whether any term lies beneath: an aggregate, not a row a child."""
+    beneath = terms.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct().withColumn("has_children", F.lit(True))
+    return terms.join(beneath, "id", "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
+
+
 def placed(bodies: DataFrame, terms: DataFrame) -> DataFrame:
     """JN16, UPS18: bodies with the name of their term; unknown or none: unclassified."""
     return bodies.join(terms.select(F.col("id").alias("term"), F.col("name").alias("term_name")), "term", "left").withColumn("term_name", F.coalesce("term_name", F.lit("unclassified")))

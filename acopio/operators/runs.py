@@ -74,20 +74,56 @@ def sweep_ranks(bodies: DataFrame, mode: Column, width: int = 1 << 16) -> DataFr
     return x.withColumn("nth", F.col("acopio_nth") + F.col("acopio_before")).drop(*by, "acopio_nth", "acopio_before")
 
 
-def run_list(runs: DataFrame, coverage: DataFrame, importer: str | None = None, body: str | None = None, state: str | None = None, since: datetime | date | None = None) -> DataFrame:
-    """FIL14, FIL9, FIL10, SO12: runs, newest first; a body matches if any covered row does."""
+def run_list(runs: DataFrame, coverage: DataFrame, importer: str | None = None, body=None, state: str | None = None, since: datetime | date | None = None, until: datetime | date | None = None, trigger: str | None = None, mode: str | None = None) -> DataFrame:
+    """FIL14, SO12: runs, newest first; a body or a mode matches if any covered row does, each on its own."""
     x = runs
-    if importer is not None:
-        x = x.where(F.col("importer") == importer)
-    if state is not None:
-        x = x.where(F.col("state") == state)
+    for column, value in (("importer", importer), ("state", state), ("trigger", trigger)):
+        if value is not None:
+            x = x.where(F.col(column) == value)
     if since is not None:
         x = x.where(F.col("started_at") >= F.lit(since))
-    if body is not None:
-        x = x.join(coverage.where(F.col("body") == body).select("run"), "run", "left_semi")
+    if until is not None:
+        x = x.where(F.col("started_at") < F.lit(until))
+    for column, value in (("body", body), ("mode", mode)):
+        if value is not None:
+            x = x.join(coverage.where(F.col(column) == value).select("run"), "run", "left_semi")
     return x.orderBy(F.desc("started_at"), F.desc("run"))
 
 
+def unsettled(coverage: DataFrame, states: tuple[str, ...] = ("PENDING", "IN_PROGRESS"), family: str | None = None) -> DataFrame:
+    """FIL9, FIL10: coverage rows in one of the states, of one family if asked."""
+    x = coverage.where(F.col("state").isin(*states))
+    return x if family is None else x.where(F.col("family") == family)
+
+
+def coverage_pairs(coverage: DataFrame) -> DataFrame:
+    """SET5, SO8: a run's (body, family) pairs, each once, in order of body, then family."""
+    return coverage.select("run", "body", "family").dropDuplicates().orderBy("run", "body", "family")
+
+
+def last_advanced(runs: DataFrame) -> DataFrame:
+    """AG4: when one of the running imports advanced last."""
+    return runs.where("state = 'IN_PROGRESS'").agg(F.max("last_advanced_at").alias("last_advanced_at"), F.count("*").alias("n"))
+
+
+def held(runs: DataFrame, now: Column, minutes: int = 15) -> DataFrame:
+    """ST8: whether a live run holds the guard: in progress and advanced within the bound."""
+    return runs.agg(F.coalesce(F.bool_or(read_state(now, minutes) == "IN_PROGRESS"), F.lit(False)).alias("held"))
+
+
+def next_trigger(now: Column, hour: int, zone: str = "Europe/Madrid") -> Column:
+    """ST9: the next ``hour`` o'clock in the zone after a UTC instant, as a UTC instant."""
+    local = F.from_utc_timestamp(now, zone)
+    today = F.date_trunc("day", local) + F.make_interval(hours=F.lit(hour))
+    day = F.when(local < today, today).otherwise(F.date_trunc("day", local) + F.make_interval(days=F.lit(1), hours=F.lit(hour)))
+    return F.to_utc_timestamp(day, zone)
+
+
+def non_negative(c: Column, name: str) -> Column:
+    """NU5: the value; negative is an error."""
+    return F.when(c < 0, F.raise_error(F.lit(f"{name} is negative"))).otherwise(c)
+
+
 def retained(runs: DataFrame, coverage: DataFrame, keep: int) -> DataFrame:
     """SP9: the newest ``keep`` runs, and the last one in which each body succeeded, by importer.
 

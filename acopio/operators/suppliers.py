@@ -65,3 +65,49 @@ def not_won(bids: DataFrame, awards: DataFrame) -> DataFrame:
 def list_order(name: Column) -> list[Column]:
     """SO11: without case or accents, then fiscal id, then own id."""
     return [F.collate(name, "UNICODE_CI_AI").asc(), F.col("fiscal_id").asc_nulls_last(), F.col("supplier_id").asc()]
+
+
+def mark_consortia(catalogue: DataFrame, found: DataFrame) -> DataFrame:
+    """RES5, UPS15: catalogue (fiscal_id, name, ute) with the consortia found (fiscal_id, name): a new one is
+    inserted marked, one that is known is marked; marking again changes nothing and a name stays."""
+    new = found.where(F.col("fiscal_id").isNotNull()).groupBy("fiscal_id").agg(F.min("name").alias("new_name"))
+    both = catalogue.join(new.withColumn("found", F.lit(True)), "fiscal_id", "full")
+    return both.select("fiscal_id", F.when(F.col("ute").isNotNull(), F.col("name")).otherwise(F.coalesce("new_name", F.lit(""))).alias("name"), (F.coalesce("ute", F.lit(False)) | F.coalesce("found", F.lit(False))).alias("ute"))
+
+
+def promote_names(catalogue: DataFrame, retained: DataFrame, best: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """UPS14, RES2: catalogue (supplier, name, rank_date, rank_id) and retained names (supplier, name, last_date,
+    last_id) after each supplier's best new reading (supplier, name, date, source_id).
+
+    A reading that outranks the shown name takes its place: its retained copy goes, and the name it
+    displaces is retained with its rank.  One that doesn't is retained, unless it is the shown name.
+    """
+    new = best.select("supplier", F.col("name").alias("new"), F.struct("date", "source_id").alias("r"))
+    x = catalogue.join(new, "supplier", "left")
+    up = F.col("r").isNotNull() & (F.col("r") > F.struct(F.col("rank_date").alias("date"), F.col("rank_id").alias("source_id")))
+    x = x.withColumn("up", F.coalesce(up, F.lit(False)))
+    shown = x.select("supplier", F.when(F.col("up"), F.col("new")).otherwise(F.col("name")).alias("name"), F.when(F.col("up"), F.col("r.date")).otherwise(F.col("rank_date")).alias("rank_date"), F.when(F.col("up"), F.col("r.source_id")).otherwise(F.col("rank_id")).alias("rank_id"))
+    displaced = x.where(F.col("up") & (F.col("name") != F.col("new"))).select("supplier", "name", F.col("rank_date").alias("last_date"), F.col("rank_id").alias("last_id"))
+    lower = x.where(~F.col("up") & F.col("r").isNotNull() & (F.col("new") != F.col("name"))).select("supplier", F.col("new").alias("name"), F.col("r.date").alias("last_date"), F.col("r.source_id").alias("last_id"))
+    kept = retained.unionByName(displaced).unionByName(lower).groupBy("supplier", "name").agg(F.max(F.struct("last_date", "last_id")).alias("k"))
+    kept = kept.join(shown.select("supplier", "name"), ["supplier", "name"], "left_anti")
+    return shown, kept.select("supplier", "name", F.col("k.last_date").alias("last_date"), F.col("k.last_id").alias("last_id"))
+
+
+def identified_names(retained: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """JN5: retained names of suppliers that have an identifier."""
+    return retained.join(catalogue.where(F.col("fiscal_id").isNotNull()).select("supplier", "fiscal_id"), "supplier")
+
+
+def with_names(catalogue: DataFrame, retained: DataFrame) -> DataFrame:
+    """JN4: suppliers with their other names, in order; none is an empty list."""
+    names = retained.groupBy("supplier").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return catalogue.join(names, "supplier", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
+def history(entries: DataFrame, supplier, order: list[Column], number: int, size: int, year: int | None = None) -> DataFrame:
+    """SP2: a page of a supplier's entries in a section, of one year if asked."""
+    from acopio.operators.browse import page
+
+    mine = entries.where(F.col("supplier_id") == supplier)
+    return page(mine if year is None else mine.where(F.col("publication_year") == year), order, number, size)

@@ -40,9 +40,10 @@ def with_cpv(tenders: DataFrame, classes: DataFrame, code: str) -> DataFrame:
     return tenders.join(classes.where((F.col("cpv") == code) & ~F.col("withdrawn")).select("tender"), "tender", "left_semi")
 
 
-def cpv_facets(tenders: DataFrame, classes: DataFrame) -> DataFrame:
-    """SET4: codes on the selection's tenders."""
-    return classes.where(~F.col("withdrawn")).join(tenders.select("tender"), "tender", "left_semi").select("cpv").distinct()
+def cpv_facets(tenders: DataFrame, classes: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """SET4: codes on the selection's tenders; with a vocabulary (cpv, label) their labels, null where it has none."""
+    found = classes.where(~F.col("withdrawn")).join(tenders.select("tender"), "tender", "left_semi").select("cpv").distinct()
+    return found if vocabulary is None else found.join(vocabulary.select("cpv", "label"), "cpv", "left")
 
 
 def state_facets(tenders: DataFrame, states: DataFrame) -> DataFrame:
@@ -112,6 +113,66 @@ def consortium_key(tender: Column, fold: Column) -> Column:
     return F.when(fold.isNotNull(), F.sha2(F.concat_ws("|", tender.cast("string"), fold), 256))
 
 
+def consortium_identity(parties: DataFrame, formalised: DataFrame) -> DataFrame:
+    """RES6-RES8: the consortia of a tender, one for each folded name: (tender, fold, name, fiscal_id, path, party).
+
+    parties: (tender, pos, fold, name, fiscal_id), formalised: (tender, pos, fold, fiscal_id).  The identifier is the
+    first that a bidder row of the name has, else the first of a formalisation with that name; without one the
+    party is known by tender and name, so a re-import finds it again.
+    """
+    named = parties.where(F.col("fold").isNotNull()).groupBy("tender", "fold").agg(
+        F.min_by("name", "pos").alias("name"), F.min(F.when(F.col("fiscal_id").isNotNull(), F.struct("pos", "fiscal_id"))).alias("b")
+    )
+    form = formalised.where(F.col("fold").isNotNull() & F.col("fiscal_id").isNotNull()).groupBy("tender", "fold").agg(F.min(F.struct("pos", "fiscal_id")).alias("f"))
+    both = named.join(form, ["tender", "fold"], "left").withColumn("fiscal_id", F.coalesce("b.fiscal_id", "f.fiscal_id"))
+    path = F.when(F.col("b").isNull() & F.col("f").isNotNull(), "FORMALISATION").otherwise("BIDDER")
+    return both.select("tender", "fold", "name", "fiscal_id", path.alias("path"), F.coalesce("fiscal_id", consortium_key(F.col("tender"), F.col("fold"))).alias("party"))
+
+
+def consortium_bids(parties: DataFrame, identities: DataFrame) -> DataFrame:
+    """RES8, RES12: each row's bid, won by nobody yet; a row without a name is a bid by nobody."""
+    return parties.join(identities.select("tender", "fold", "party"), ["tender", "fold"], "left").select("tender", "lot", "party", F.lit(False).alias("won"))
+
+
+def at_lots(rows: DataFrame, lots: DataFrame, strict: bool = True) -> DataFrame:
+    """JN12: rows with the ``lot_id`` of their lot (null: the whole procedure).  A lot that is not stored is an
+    error, or with ``strict`` off a row whose ``stored`` is false."""
+    found = rows.join(lots.select("tender", "lot", "lot_id"), ["tender", "lot"], "left").withColumn("stored", F.col("lot").isNull() | F.col("lot_id").isNotNull())
+    if not strict:
+        return found
+    says = F.concat(F.lit("a row names lot "), F.col("lot").cast("string"), F.lit(", which tender "), F.col("tender").cast("string"), F.lit(" has not stored"))
+    return found.withColumn("lot_id", F.when(F.col("stored"), F.col("lot_id")).otherwise(F.raise_error(says))).drop("stored")
+
+
+def awardee_rank(date: Column, publication: Column) -> Column:
+    """RES13: where a name that an award gives ranks; null where the publication is no number."""
+    from acopio.functions.clean import numeric_id
+
+    number = numeric_id(publication)
+    return F.when(number.isNotNull(), F.struct(date.alias("date"), number.alias("source_id")))
+
+
+def with_state(tenders: DataFrame, code: str) -> DataFrame:
+    """FIL5: by code; an unknown one matches nothing."""
+    return tenders.where(F.col("state") == code)
+
+
+def detail(tenders: DataFrame, lots: DataFrame, awards: DataFrame, formalised: DataFrame, classes: DataFrame, bidders: DataFrame) -> DataFrame:
+    """SP5: a row a tender with arrays of its lots, awards, formalisations, classes and bidders; a bidder
+    is the winner of a lot if an award of that lot (or of the whole) is theirs.  Each family is gathered before it is joined."""
+
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("tender").agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != "tender"]))).alias(name))
+
+    won = awards.where(F.col("supplier_id").isNotNull()).select(F.col("tender").alias("wt"), F.col("lot").alias("wl"), F.col("supplier_id").alias("ws")).distinct()
+    same = (F.col("tender") == F.col("wt")) & F.col("lot").eqNullSafe(F.col("wl")) & (F.col("supplier_id") == F.col("ws"))
+    marked = bidders.join(won, same, "left").select("tender", "lot", "supplier_id", F.col("wt").isNotNull().alias("winner"))
+    out = tenders
+    for rows, name in ((lots, "lots"), (awards, "awards"), (formalised, "formalisations"), (classes, "classes"), (marked, "bidders")):
+        out = out.join(gathered(rows, name), "tender", "left").withColumn(name, F.coalesce(name, F.array()))
+    return out
+
+
 def won_through(memberships: DataFrame, awards: DataFrame) -> DataFrame:
     """SP4, JN15, FIL8: awards of a consortium, shown for each live member and in none of their totals."""
     live = memberships.where(~F.col("withdrawn"))

@@ -36,7 +36,6 @@ def values(spark, cells, rule):
         (clean.failure_reason, {" a\n b ": "a b", " ": None, "x" * 501: "x" * 499 + "…", "y" * 500: "y" * 500}),
         (clean.duration, {"x" * 70: "x" * 64, "x" * 63 + "\U0001f600": "x" * 63, "x" * 62 + "\U0001f600": "x" * 62 + "\U0001f600", " a ": "a"}),
         (fold.name_fold, {"Construcións Á-B, S.L.": "construcionsabsl", "···": None, None: None}),
-        (fold.name_fold_latin, {"Construcións Á-B, S.L.": "construcionsabsl"}),
     ],
 )
 def test_rules(spark, rule, cases):
@@ -52,3 +51,15 @@ def test_search_ignores_case_and_accents(spark):
     rows = spark.createDataFrame([("Álvaro",), ("Zamora",)], "c string")
     assert [r.c for r in rows.where(fold.contains_folded(F.col("c"), "alv")).collect()] == ["Álvaro"]
     assert rows.where(fold.contains_folded(F.col("c"), " ")).count() == 2
+
+
+def test_fold_is_that_of_decomposition(spark):
+    """Every character, alone and between letters."""
+    import re
+    import unicodedata
+
+    chars = [chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(c, f"a{c}Z") for c in chars], "c string, t string")
+    for r in rows.select("t", fold.name_fold("t").alias("f")).collect():
+        want = re.sub("[^a-z0-9]+", "", unicodedata.normalize("NFD", r.t.lower())) or None
+        assert r.f == want, r.t
