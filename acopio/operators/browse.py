@@ -88,9 +88,14 @@ def contract_page(contracts: DataFrame, suppliers: DataFrame, body: str, year: i
     Each visible row has exactly one supplier, so cutting first gives the same page and joins
     at most ``size`` rows.
     """
-    cut = page(contracts.where(visible(year, body)), sort.columns(), number, size)
+    return with_awardees(page(contracts.where(visible(year, body)), sort.columns(), number, size), suppliers, sort)
+
+
+def with_awardees(cut: DataFrame, suppliers: DataFrame, sort: Sort) -> DataFrame:
+    """JN1, PRJ1: a page of at most 100 rows with its suppliers' names, in the page's order."""
     names = suppliers.select("supplier_id", F.col("name").alias("awardee_name"), F.col("fiscal_id").alias("awardee_fiscal_id"))
-    return F.broadcast(cut).join(names, "supplier_id").select("source_id", "publication_date", "object", "amount", "duration", "awardee_name", "awardee_fiscal_id")
+    # a join keeps no order: at most a page of rows is put in order again
+    return F.broadcast(cut).join(names, "supplier_id").orderBy(*sort.columns()).select("source_id", "publication_date", "object", "amount", "duration", "awardee_name", "awardee_fiscal_id")
 
 
 def envelope(rows: DataFrame, number: int, size: int) -> DataFrame:
@@ -101,15 +106,59 @@ def envelope(rows: DataFrame, number: int, size: int) -> DataFrame:
 
 def years(contracts: DataFrame, body: str) -> DataFrame:
     """SET3: years with something visible, newest first."""
-    return contracts.where(visible(body=body)).select("publication_year").distinct().orderBy(F.desc("publication_year"))
+    known = F.col("publication_year").isNotNull()  # prunes the folder of undated rows
+    return contracts.where(visible(body=body) & known).select("publication_year").distinct().orderBy(F.desc("publication_year"))
 
 
 def bodies_with_visible(bodies: DataFrame, *families: DataFrame) -> DataFrame:
-    """JN2, JN3, SET2: bodies with something visible in any family, in catalogue order."""
+    """JN2, JN3, SET2: bodies with something visible in any family; in catalogue order, if they have names."""
     ids = families[0]
     for x in families[1:]:
         ids = ids.union(x)
-    return bodies.join(ids.toDF("body").distinct(), "body", "left_semi")
+    found = bodies.join(ids.toDF("body").distinct(), "body", "left_semi")
+    return found.orderBy(*catalogue_order(F.col("name"))) if "name" in bodies.columns else found
+
+
+def catalogue_order(name: Column, key: str = "body") -> list[Column]:
+    """SO6: by name without case or accents, then by key."""
+    return [F.collate(name, "UNICODE_CI_AI").asc(), F.col(key).asc()]
+
+
+def visible_among(contracts: DataFrame, candidates: list) -> DataFrame:
+    """JN2, SET6: which of a few bodies have something visible; nothing is read when there are none."""
+    if not candidates:
+        return contracts.sparkSession.createDataFrame([], contracts.select("body").schema)
+    return by_keys(contracts.where(visible()), "body", candidates).select("body").distinct()
+
+
+def by_keys(rows: DataFrame, key: str, keys: list, most: int = 1_000) -> DataFrame:
+    """SRC8: the rows of a few keys: a filter that reaches the scan, or beyond ``most`` keys a join."""
+    if len(keys) <= most:
+        return rows.where(F.col(key).isin(list(keys)))
+    wanted = rows.sparkSession.createDataFrame([(k,) for k in keys], rows.select(key).schema).distinct()
+    return rows.join(wanted, key, "left_semi")
+
+
+def page_after(rows: DataFrame, sort: Sort, last: tuple | None, size: int, tie: str = "source_id") -> DataFrame:
+    """SO3 for deep pages: the page after the row with (value, tie) ``last``, a top-k however far in.  The
+    sorted column has no nulls, as in the visible selection."""
+    if size < 1:
+        raise ValueError("a page needs a size")
+    if last is not None:
+        k, t, (value, key) = F.col(sort.column), F.col(tie), last
+        rows = rows.where((k < value) | ((k == value) & (t < key)) if sort.descending else (k > value) | ((k == value) & (t > key)))
+    return rows.orderBy(*sort.columns(tie)).limit(size)
+
+
+def updated(rows: DataFrame, key: str, value, changes: dict[str, Column]) -> DataFrame:
+    """UPS17: one row's columns changed, all others as they were."""
+    return rows.withColumns({c: F.when(F.col(key).eqNullSafe(F.lit(value)), x).otherwise(F.col(c)) for c, x in changes.items()})
+
+
+def may_disable(users: DataFrame) -> DataFrame:
+    """FIL15, AG21: enabled administrators, and whether one of them may be disabled: never the last."""
+    on = F.count_if(F.col("enabled") & F.col("admin"))
+    return users.agg(F.count("*").alias("users"), F.count_if("admin").alias("admins"), on.alias("enabled_admins"), (on > 1).alias("may_disable"))
 
 
 def anomalies(contracts: DataFrame) -> DataFrame:

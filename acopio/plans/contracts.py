@@ -12,45 +12,64 @@ from acopio.plans.roles import with_ctes
 Q = Book()
 BODY, YEAR = "1-URGENT", 1997
 VISIBLE = "amount IS NOT NULL AND supplier_id IS NOT NULL AND publication_date IS NOT NULL"
-_PAGE = "SELECT source_id, CAST(publication_date AS VARCHAR) AS publication_date, CAST(amount AS DOUBLE) AS amount, name AS awardee_name, fiscal_id AS awardee_fiscal_id FROM contracts JOIN suppliers USING (supplier_id) WHERE body = '1-URGENT' AND publication_year = 1997 AND " + VISIBLE
+_PAGE = "SELECT row_number() OVER (ORDER BY {order}) AS nth, source_id, CAST(publication_date AS VARCHAR) AS publication_date, CAST(amount AS DOUBLE) AS amount, name AS awardee_name, fiscal_id AS awardee_fiscal_id FROM contracts JOIN suppliers USING (supplier_id) WHERE body = '1-URGENT' AND publication_year = 1997 AND " + VISIBLE
+
+
+def _ordered(order: str) -> str:
+    return _PAGE.format(order=order) + f" ORDER BY {order}"
 
 
 def _page(spark, sf, sort: browse.Sort, number: int):
-    rows = browse.contract_page(roles.contracts(spark, sf), roles.suppliers(spark, sf), BODY, YEAR, sort, number, 20)
-    return rows.select("source_id", F.col("publication_date").cast("string").alias("publication_date"), F.col("amount").cast("double").alias("amount"), "awardee_name", "awardee_fiscal_id")
+    rows = browse.contract_page(roles.stored_contracts(spark, sf), roles.suppliers(spark, sf), BODY, YEAR, sort, number, 20)
+    return _numbered(rows, number)
+
 
+def _numbered(rows, number: int):
+    """``nth`` numbers the page's rows (20 at most) as they come, so that a comparison sees their order."""
+    rows = rows.coalesce(1).withColumn("nth", F.monotonically_increasing_id() + 1 + (number - 1) * 20)
+    return rows.select("nth", "source_id", F.col("publication_date").cast("string").alias("publication_date"), F.col("amount").cast("double").alias("amount"), "awardee_name", "awardee_fiscal_id")
 
-@Q.query(with_ctes("contracts", "suppliers") + _PAGE + " ORDER BY contracts.publication_date DESC, source_id DESC LIMIT 20 OFFSET 40")
+
+@Q.query(with_ctes("contracts", "suppliers") + _ordered("contracts.publication_date DESC, source_id DESC") + " LIMIT 20 OFFSET 40")
 def browse_page_date_desc(spark, sf):
     """FIL1 JN1 SO1 SO3 PRJ1."""
     return _page(spark, sf, browse.Sort(), 3)
 
 
-@Q.query(with_ctes("contracts", "suppliers") + _PAGE + " ORDER BY contracts.publication_date, source_id LIMIT 20")
+@Q.query(with_ctes("contracts", "suppliers") + _ordered("contracts.publication_date, source_id") + " LIMIT 20")
 def browse_page_date_asc(spark, sf):
     return _page(spark, sf, browse.Sort(descending=False), 1)
 
 
-@Q.query(with_ctes("contracts", "suppliers") + _PAGE + " ORDER BY contracts.amount DESC, source_id DESC LIMIT 20 OFFSET 20")
+@Q.query(with_ctes("contracts", "suppliers") + _ordered("contracts.amount DESC, source_id DESC") + " LIMIT 20 OFFSET 20")
 def browse_page_amount_desc(spark, sf):
     return _page(spark, sf, browse.parse_sort("amount,desc"), 2)
 
 
-@Q.query(with_ctes("contracts", "suppliers") + _PAGE + " ORDER BY contracts.amount, source_id LIMIT 20")
+@Q.query(with_ctes("contracts", "suppliers") + _ordered("contracts.amount, source_id") + " LIMIT 20")
 def browse_page_amount_asc(spark, sf):
     return _page(spark, sf, browse.parse_sort("amount,asc"), 1)
 
 
+@Q.query(with_ctes("contracts", "suppliers") + _ordered("contracts.amount DESC, source_id DESC") + " LIMIT 20 OFFSET 20")
+def browse_page_after(spark, sf):
+    """SO3 for deep pages: what follows the last row of the first page, by a filter instead of an offset."""
+    rows, sort = roles.stored_contracts(spark, sf).where(browse.visible(YEAR, BODY)), browse.Sort("amount")
+    last = rows.orderBy(*sort.columns()).limit(20).agg(F.min(F.struct("amount", "source_id")).alias("x")).first().x
+    page = browse.page_after(rows, sort, last, 20)
+    return _numbered(browse.with_awardees(page, roles.suppliers(spark, sf), sort), 2)
+
+
 @Q.query(with_ctes("contracts") + f"SELECT 3 AS page, 20 AS size, count(*) AS total_items, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages FROM contracts WHERE body = '1-URGENT' AND publication_year = 1997 AND {VISIBLE}")
 def browse_count(spark, sf):
     """AG1 PRJ3: joins nothing."""
-    return browse.envelope(roles.contracts(spark, sf).where(browse.visible(YEAR, BODY)), 3, 20)
+    return browse.envelope(roles.stored_contracts(spark, sf).where(browse.visible(YEAR, BODY)), 3, 20)
 
 
 @Q.query(with_ctes("contracts") + f"SELECT DISTINCT publication_year FROM contracts WHERE body = '1-URGENT' AND {VISIBLE}")
 def year_facets(spark, sf):
-    """SET3 DT3."""
-    return browse.years(roles.contracts(spark, sf), BODY)
+    """SET3 DT3: of the stored table, whose folders are the years."""
+    return browse.years(roles.stored_contracts(spark, sf), BODY)
 
 
 @Q.query(with_ctes("contracts", "suppliers") + f"SELECT supplier_id AS body FROM suppliers s WHERE EXISTS (SELECT 1 FROM contracts c WHERE c.supplier_id = s.supplier_id AND body = '1-URGENT' AND publication_year = 1997 AND {VISIBLE})")
@@ -131,7 +150,7 @@ def upsert_protected(spark, sf):
 
 @Q.query(with_ctes("awards") + ", s AS (SELECT * FROM awards WHERE tender % 3 <> 0), i AS (SELECT tender, lot, amount + 1 AS amount FROM awards WHERE tender % 2 = 0) SELECT coalesce(s.tender, i.tender) AS tender, CASE WHEN s.tender IS NOT NULL THEN s.lot ELSE i.lot END AS lot, CAST(CASE WHEN i.tender IS NOT NULL THEN i.amount ELSE s.amount END AS DOUBLE) AS amount FROM s FULL JOIN i ON s.tender = i.tender AND coalesce(s.lot, -1) = coalesce(i.lot, -1)", doubles=('lot',))
 def upsert_null_safe(spark, sf):
-    """UPS6-UPS8 UPS10: a null lot is a key value."""
+    """UPS6: a null lot is a key value."""
     a = roles.awards(spark, sf).select("tender", "lot", "amount")
     return upsert.upsert(a.where("tender % 3 <> 0"), a.where("tender % 2 = 0").withColumn("amount", (F.col("amount") + 1).cast("decimal(18,2)")), ["tender", "lot"]).withColumn("amount", F.col("amount").cast("double"))
 

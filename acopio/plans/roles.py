@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acopio.sources import store
+
 CTES = {
     "contracts": """contracts AS (
         SELECT o_orderkey AS source_id, o_orderpriority AS body,
@@ -42,11 +44,13 @@ CTES = {
         SELECT event_id // 40 AS run, user_id % 9 AS body,
                CASE WHEN event_type = 'error' OR event_id // 40 % 10 = 3 THEN 'FAILED' WHEN event_id % 31 = 0 THEN 'SKIPPED' ELSE 'SUCCEEDED' END AS state,
                CASE WHEN event_type = 'error' OR event_id // 40 % 10 = 3 THEN 'reason ' || CAST(event_id % 4 AS VARCHAR) END AS reason,
-               event_id % 5 AS added, event_id % 3 AS refreshed
+               event_id % 5 AS added, event_id % 3 AS refreshed,
+               CASE event_id % 3 WHEN 0 THEN 'INITIAL' WHEN 1 THEN 'RESUMED' ELSE 'INCREMENTAL' END AS mode, CASE WHEN event_id % 2 = 0 THEN 'CONTRACTS' ELSE 'TENDERS' END AS family
         FROM events)""",
     "runs": """runs AS (
         SELECT event_id // 40 AS run, CASE WHEN event_id // 40 % 2 = 0 THEN 'CONTRACTS' ELSE 'TENDERS' END AS importer,
-               min(ts) AS started_at, max(ts) AS last_advanced_at, CASE WHEN event_id // 40 % 4 = 1 THEN 'IN_PROGRESS' ELSE 'SUCCEEDED' END AS state
+               min(ts) AS started_at, max(ts) AS last_advanced_at, CASE WHEN event_id // 40 % 4 = 1 THEN 'IN_PROGRESS' ELSE 'SUCCEEDED' END AS state,
+               CASE WHEN event_id // 40 % 3 = 0 THEN 'MANUAL' ELSE 'SCHEDULED' END AS trigger
         FROM events GROUP BY event_id // 40)""",
     "terms": """terms AS (SELECT p_partkey AS id, CASE WHEN p_partkey // 10 = 0 THEN NULL ELSE p_partkey // 10 END AS parent, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name FROM part)""",
     "stored": "stored AS (SELECT o_orderkey AS source_id, o_orderpriority AS body, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_custkey AS supplier_id FROM orders WHERE o_orderkey % 3 <> 0)",
@@ -75,6 +79,14 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracts as an import leaves them: written once for each state of the input, by year; browsing reads that."""
+    table_ = store.contracts(spark, f"{store.folder(spark)}/acopio-contracts-{store.fingerprint(spark, f'{sf_dir}/orders.parquet')}")
+    if not table_.versions():
+        table_.write(contracts(spark, sf_dir))
+    return table_.read()
+
+
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("supplier_id"), F.col("c_name").alias("name"), F.concat(F.lit("B"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("fiscal_id"))
 
@@ -117,12 +129,13 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "run", (F.col("user_id") % 9).alias("body"), F.when(failed, "FAILED").when(F.col("event_id") % 31 == 0, "SKIPPED").otherwise("SUCCEEDED").alias("state"),
         F.when(failed, F.concat(F.lit("reason "), (F.col("event_id") % 4).cast("string"))).alias("reason"), (F.col("event_id") % 5).alias("added"), (F.col("event_id") % 3).alias("refreshed"),
+        F.when(F.col("event_id") % 3 == 0, "INITIAL").when(F.col("event_id") % 3 == 1, "RESUMED").otherwise("INCREMENTAL").alias("mode"), F.when(F.col("event_id") % 2 == 0, "CONTRACTS").otherwise("TENDERS").alias("family"),
     )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 40").alias("run")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_advanced_at"))
-    return e.select("run", F.when(F.col("run") % 2 == 0, "CONTRACTS").otherwise("TENDERS").alias("importer"), "started_at", "last_advanced_at", F.when(F.col("run") % 4 == 1, "IN_PROGRESS").otherwise("SUCCEEDED").alias("state"))
+    return e.select("run", F.when(F.col("run") % 2 == 0, "CONTRACTS").otherwise("TENDERS").alias("importer"), "started_at", "last_advanced_at", F.when(F.col("run") % 4 == 1, "IN_PROGRESS").otherwise("SUCCEEDED").alias("state"), F.when(F.col("run") % 3 == 0, "MANUAL").otherwise("SCHEDULED").alias("trigger"))
 
 
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from acopio.operators import browse, hierarchy, runs, suppliers, tenders, upsert
+from acopio.sources import store
 
 
 def rows(df):
@@ -151,3 +153,64 @@ def test_runs(spark):
     now = F.lit(datetime(2024, 1, 1, 1))
     r = spark.createDataFrame([("IN_PROGRESS", datetime(2024, 1, 1)), ("IN_PROGRESS", datetime(2024, 1, 1, 0, 50)), ("SUCCEEDED", datetime(2024, 1, 1))], "state string, last_advanced_at timestamp")
     assert [x[0] for x in r.select(runs.read_state(now)).collect()] == ["ABANDONED", "IN_PROGRESS", "SUCCEEDED"]
+
+
+def test_pages_come_in_order(spark):
+    """Through the join with suppliers, in all four orders."""
+    rng = random.Random(1)
+    rows = [(k, "b", date(2024, 1, rng.randint(1, 9)), float(rng.randint(1, 9)), k % 7, 2024, "o", "d") for k in range(300)]
+    contracts = spark.createDataFrame(rows, "source_id long, body string, publication_date date, amount double, supplier_id long, publication_year int, object string, duration string")
+    names = spark.createDataFrame([(k, f"n{k}", f"f{k}") for k in range(7)], "supplier_id long, name string, fiscal_id string")
+    for column, place in (("publication_date", 2), ("amount", 3)):
+        for down in (True, False):
+            sort, got, last = browse.Sort(column, down), [], None
+            want = [r[0] for r in sorted(rows, key=lambda r: (r[place], r[0]), reverse=down)]
+            for number in range(1, 8):
+                page = browse.contract_page(contracts, names, "b", 2024, sort, number, 50)
+                got += [r.source_id for r in page.collect()]
+            assert got == want
+            for at in range(0, 300, 100):
+                after = [(r[column], r.source_id) for r in browse.page_after(contracts, sort, last, 100).collect()]
+                assert [k for _, k in after] == want[at : at + 100]
+                last = after[-1]
+
+
+def test_deep_trees(spark):
+    terms = spark.createDataFrame([(k, k - 1 if k else None, f"t{k}") for k in range(200)] + [(500, 499, "orphan")], "id long, parent long, name string")
+    rows = {r.id: r for r in hierarchy.picker(terms, F.col("name") == "t150", pinned=20).collect()}
+    assert set(rows) == set(range(200)) and rows[199].depth == 199
+    few = {r.id for r in hierarchy.search(terms, F.col("name") == "nothing", pinned=3).collect()}
+    assert few == {0, 1, 2, 3}
+    assert hierarchy.move_refused(terms, 0, 199).count() == 1 and hierarchy.move_refused(terms, 199, 0).count() == 0
+    order = [r.id for r in hierarchy.picker(spark.createDataFrame([(1, None, "b"), (2, None, "a"), (3, 1, "z"), (4, 1, "Y"), (5, 2, "q")], "id long, parent long, name string"), F.lit(True)).collect()]
+    assert order == [2, 5, 1, 4, 3]
+    with pytest.raises(ValueError):
+        hierarchy.deleted(terms, 5)
+    assert hierarchy.deleted(terms, 199).count() == 200
+
+
+def test_store(spark, tmp_path):
+    rows = [(k, f"b{k % 3}", date(2020 + k % 4, 1, 1), float(k), 2020 + k % 4) for k in range(100)] + [(900, "b0", None, 1.0, None)]
+    kind = "source_id long, body string, publication_date date, amount double, publication_year int"
+    table = store.contracts(spark, str(tmp_path / "c")).write(spark.createDataFrame(rows, kind))
+    plan = table.read().where("publication_year = 2021 and body = 'b1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(publication_year" in plan
+    table.upsert(spark.createDataFrame([(1, "b9", date(2023, 1, 1), None, 2023), (901, "b1", date(2022, 1, 1), 2.0, 2022)], kind))
+    got = {r.source_id: r for r in table.read().collect()}
+    assert len(got) == 102 and got[1].body == "b9" and got[1].amount is None and got[1].publication_year == 2023 and got[900].publication_year is None
+    assert table.versions() == [1, 2]
+    table.prune()
+    assert table.versions() == [2] and table.read().count() == 102
+
+
+def test_unknown_lots_are_an_error(spark):
+    rows = spark.createDataFrame([(1, "1"), (1, None)], "tender long, lot string")
+    lots = spark.createDataFrame([(1, "1", 10)], "tender long, lot string, lot_id long")
+    assert {(r.lot, r.lot_id) for r in tenders.at_lots(rows, lots).collect()} == {("1", 10), (None, None)}
+    with pytest.raises(Exception, match="has not stored"):
+        tenders.at_lots(spark.createDataFrame([(1, "7")], "tender long, lot string"), lots).collect()
+
+
+def test_negative_samples_are_an_error(spark):
+    with pytest.raises(Exception, match="requests is negative"):
+        spark.range(1).select(runs.non_negative(F.lit(-1), "requests")).collect()
