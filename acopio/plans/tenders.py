@@ -103,7 +103,7 @@ _CASCADE = """, x AS (SELECT tender, lot, supplier_id, part, 'name ' || CAST(par
 aw AS (SELECT tender, lot, 'name' || CAST(part % 50 AS VARCHAR) AS fold FROM x WHERE part % 2 = 0),
 fo AS (SELECT tender, lot, 'name' || CAST(CASE WHEN part % 9 = 0 THEN 99 ELSE part % 50 END AS VARCHAR) AS fold, supplier_id FROM x WHERE part % 3 = 0),
 bi AS (SELECT tender, 'name' || CAST(part % 50 AS VARCHAR) AS fold, CASE WHEN part % 10 = 4 THEN NULL ELSE 1000 + part % 7 END AS supplier_id FROM x WHERE part % 4 = 0),
-ca AS (SELECT DISTINCT 'name' || CAST(c_custkey % 60 AS VARCHAR) AS fold, c_custkey AS supplier_id FROM customer WHERE c_custkey <= 80),
+ca AS (SELECT DISTINCT 'name' || CAST(CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey % 60 END AS VARCHAR) AS fold, c_custkey AS supplier_id FROM customer),
 co AS (SELECT tender, 'name' || CAST(part % 50 AS VARCHAR) AS fold, CASE WHEN tender % 2 = 0 THEN 5000 + part % 50 END AS supplier_id FROM x WHERE part % 11 = 0),
 g AS (SELECT tender, fold, min(supplier_id) AS consortium FROM co GROUP BY ALL), f AS (SELECT tender, lot, min(fold) AS ff, min(supplier_id) AS fs FROM fo GROUP BY ALL),
 b AS (SELECT tender, fold, count(DISTINCT supplier_id) AS ids, count(*) FILTER (WHERE supplier_id IS NULL) AS missing, min(supplier_id) AS bidder FROM bi GROUP BY ALL),
@@ -117,21 +117,23 @@ SELECT tender, lot, fold, path, CASE WHEN consortium IS NOT NULL THEN consortium
 
 @Q.query(with_ctes("awards") + _CASCADE, doubles=('lot', 'awardee_id'))
 def award_cascade(spark, sf):
-    """RES6-RES11 JN6 JN10 JN11."""
+    """RES10 RES11 JN6 JN10 JN11."""
     x = roles.awards(spark, sf).withColumn("n", F.col("part") % 50)
     fold = name_fold(F.concat(F.lit("Náme "), F.col("n").cast("string")))
     other = name_fold(F.concat(F.lit("name "), F.when(F.col("part") % 9 == 0, F.lit(99)).otherwise(F.col("n")).cast("string")))
     aw = x.where("part % 2 = 0").select("tender", "lot", fold.alias("fold"))
     fo = x.where("part % 3 = 0").select("tender", "lot", other.alias("fold"), "supplier_id", F.lit(0).alias("pos"))
     bi = x.where("part % 4 = 0").select("tender", fold.alias("fold"), F.when(F.col("part") % 10 != 4, 1000 + F.col("part") % 7).alias("supplier_id"))
-    ca = roles.table(spark, sf, "customer").where("c_custkey <= 80").select(F.concat(F.lit("name"), (F.col("c_custkey") % 60).cast("string")).alias("fold"), F.col("c_custkey").alias("supplier_id")).distinct()
+    # every third customer has a name of its own, the others share one of forty
+    number = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).otherwise(F.col("c_custkey") % 60)
+    ca = roles.table(spark, sf, "customer").select(F.concat(F.lit("name"), number.cast("string")).alias("fold"), F.col("c_custkey").alias("supplier_id")).distinct()
     co = x.where("part % 11 = 0").select("tender", fold.alias("fold"), F.when(F.col("tender") % 2 == 0, 5000 + F.col("n")).alias("supplier_id"))
     return tenders.award_cascade(aw, fo, bi, ca, co)
 
 
 @Q.query(with_ctes("awards") + "SELECT m AS supplier_id, tender, lot, CAST(amount AS DOUBLE) AS amount, false AS counts FROM awards JOIN (SELECT s_suppkey AS c, unnest([s_suppkey * 10 + 1, s_suppkey * 10 + 2]) AS m, s_suppkey % 3 = 0 AS w FROM supplier) ON c = supplier_id WHERE NOT w", doubles=('lot',))
 def won_through_consortium(spark, sf):
-    """SP4 JN15 FIL8 UPS11."""
+    """SP4 JN15 FIL8."""
     s = roles.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("consortium"), F.explode(F.array(F.col("s_suppkey") * 10 + 1, F.col("s_suppkey") * 10 + 2)).alias("member"), (F.col("s_suppkey") % 3 == 0).alias("withdrawn"))
     return tenders.won_through(s, roles.awards(spark, sf).drop("withdrawn")).withColumn("amount", F.col("amount").cast("double"))
 

@@ -22,7 +22,7 @@ def rates(samples: DataFrame, late: str = "10 minutes", every: str = "1 hour") -
 
 def counters(samples: DataFrame) -> DataFrame:
     """ST2: monotonic counters by kind (complete output mode: few keys)."""
-    return samples.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.greatest("value", F.lit(0.0))).alias("total"))
+    return samples.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.greatest("value", F.lit(0.0)).cast("decimal(18,6)")).alias("total"))
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
