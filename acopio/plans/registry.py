@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from acopio.plans import contracts, runs, suppliers, tenders, texts
+from acopio.plans import contracts, details, runs, suppliers, tenders, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (contracts, suppliers, tenders, runs, texts):
+for module in (contracts, suppliers, tenders, runs, texts, details):
     QUERIES |= module.Q.queries
     ORACLE_SQL |= module.Q.sql

@@ -94,6 +94,6 @@ def suppliers_reachable(spark, sf):
 
 @Q.query(with_ctes("awards") + ", bids AS (SELECT tender, lot, 1 + part % 100 AS supplier_id FROM awards) SELECT * FROM bids b WHERE NOT EXISTS (SELECT 1 FROM awards a WHERE a.tender = b.tender AND a.lot IS NOT DISTINCT FROM b.lot AND a.supplier_id = b.supplier_id)", doubles=('lot',))
 def bids_not_won(spark, sf):
-    """SP3 RES12."""
+    """SP3."""
     a = roles.awards(spark, sf)
     return suppliers.not_won(a.select("tender", "lot", (F.col("part") % 100 + 1).alias("supplier_id")), roles.awards(spark, sf))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from acopio.functions import clean
-from acopio.functions.fold import name_fold, name_fold_latin
+from acopio.functions.fold import name_fold
 from acopio.plans import roles
 from acopio.plans.book import Book
 from acopio.sources import portal
@@ -22,8 +22,8 @@ def name_fold_texts(spark, sf):
 
 @Q.query("SELECT p_partkey AS k, nullif(regexp_replace(strip_accents(lower(p_name || ' É-' || p_brand)), '[^a-z0-9]', '', 'g'), '') AS fold FROM part")
 def name_fold_codegen(spark, sf):
-    """SF9 inside codegen, for Latin-1 names."""
-    return roles.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), name_fold_latin(F.concat("p_name", F.lit(" É-"), "p_brand")).alias("fold"))
+    """SF9 over composed letters."""
+    return roles.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), name_fold(F.concat("p_name", F.lit(" É-"), "p_brand")).alias("fold"))
 
 
 @Q.query(r"""SELECT p_partkey AS k, nullif(trim(p_name), '') AS text, lower(p_name) || ' ' || p_brand AS collapsed, upper(p_brand || ' x') AS fiscal,
@@ -87,10 +87,10 @@ def publication_links(spark, sf):
 
 @Q.query("SELECT page_id, len(regexp_extract_all(html, '<li[^>]*>')) AS n_items FROM pages")
 def parse_pages(spark, sf):
-    """HX1 HX4: list items of real pages, parsed where the pages are."""
+    """List items of real pages, parsed where the pages are."""
     @F.pandas_udf("long")
     def items(html: pd.Series) -> pd.Series:
-        return html.map(lambda x: len(portal.outline(x or "").items))
+        return html.map(lambda x: sum(1 for _ in portal.tree(x or "").all("li")))
 
     return roles.table(spark, sf, "pages").select("page_id", items("html").alias("n_items"))
 
@@ -103,14 +103,3 @@ def json_pages(spark, sf):
     raw = roles.table(spark, sf, "customer").select(k.alias("k"), F.to_json(F.struct(F.lit(3).alias("recordsTotal"), F.array(row(1), row(2), row(3)).alias("data"))).alias("value"))
     rows = portal.entries(portal.pages(raw, portal.CONTRACT_PAGE))
     return rows.select("k", (F.col("pos") + 1).cast("long").alias("n"), "id", "objeto")
-
-
-@Q.query("SELECT c_custkey AS key, c_custkey % 5 <> 0 AS ok, CASE WHEN c_custkey % 5 <> 0 THEN 'Adxudicado' END AS state, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 3 ELSE NULL END AS n_awards FROM customer", doubles=('n_awards',))
-def parse_records(spark, sf):
-    """SRC7 HX1-HX4: records with awards; pages without a main block become errors."""
-    k = F.col("c_custkey")
-    rows = F.array_join(F.transform(F.slice(F.array(F.lit(1), F.lit(2)), 1, (k % 3).cast("int")), lambda i: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit("</td><td>ACME</td><td>1,0</td></tr>"))), "")
-    table = F.concat(F.lit("<div id='adxudicacion'><table><tr><th>Lote</th><th>Adxudicatario</th><th>Importe</th></tr>"), rows, F.lit("</table></div>"))
-    page = F.when(k % 5 != 0, F.concat(F.lit("<dl><dt>Obxecto</dt><dd>Obra</dd></dl><p>Estado: <em>Adxudicado</em></p>"), table)).otherwise(F.lit("<p>nada</p>"))
-    found = portal.records(roles.table(spark, sf, "customer").select(k, page.alias("html")), "c_custkey", "html")
-    return found.select("key", F.col("error").isNull().alias("ok"), "state", F.when(F.col("error").isNull(), F.size(F.col("tables")["awards"])).cast("long").alias("n_awards"))
