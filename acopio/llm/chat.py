@@ -3,8 +3,8 @@
 Method: messages point at the message they answer.  Self-joins that double their reach
 (a node's ancestor 1, 2, 4, ... steps up) list every root-to-leaf path: the number of rounds
 is the logarithm of the deepest thread, and a round's rows are those of the paths found.
-Branches of a tree are ranked by the sum of their messages' scores (ties: the smaller leaf),
-and the nodes of each chosen branch are formatted, root first, as one conversation.
+Branches of a tree are ranked by the sum of their messages' scores (ties: the smaller leaf); then
+the chosen ones alone get their texts, and each is formatted, root first, as one conversation.
 
 Template: <|im_start|>ROLE\\nTEXT<|im_end|>\\n a turn.  Inside roles and texts each "<", any
 backslashes, "|" gets one more backslash, so no control string is left, and taking one away
@@ -12,7 +12,8 @@ restores the text; in roles "%" and new lines are written %25 and %0A.
 
 Defined results: null text, role: empty; a message whose parent is missing is a root; messages
 on or below a cycle are on no path; equal turns are ordered by role, then text; null turns
-come first; rows with a null conv_id form one conversation.  One conversation is one string
+come first; rows with a null conv_id form one conversation; an empty table gives no rows; other columns, whatever
+their names, are not looked at.  One conversation is one string
 and so one row of one task: it must fit there, whatever the rest of the table.
 """
 
@@ -43,10 +44,11 @@ def unescape_role(x: Column) -> Column:
     return F.replace(F.replace(unescape(x), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, tables: list[Table] | None = None) -> DataFrame:
     """Root-to-leaf paths of nodes (node, parent): rows (leaf, node, up), up: steps above the leaf.
 
-    ``nodes`` is read a few times, so it should be a written table.
+    ``nodes`` is read a few times, so it should be a written table; ``tables`` gets the written tables
+    that the result reads.
     """
     spark = nodes.sparkSession
     parents = nodes.where(F.col("parent").isNotNull()).select("node", "parent")
@@ -62,10 +64,13 @@ def paths(nodes: DataFrame) -> DataFrame:
             so_far = so_far.unionByName(x)
         more = written(so_far.join(jumps.df(), "node").select("leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up")))
         found.append(more.df())
+        old.append(more)
         a, b = jumps.df(), jumps.df().select(F.col("node").alias("above"), F.col("above").alias("top"))
         old.append(jumps)
         jumps = written(a.join(b, "above").select("node", F.col("top").alias("above")))
         reach *= 2
+    if tables is not None:
+        tables += [*old, jumps]
     all_rows = found[0]
     for x in found[1:]:
         all_rows = all_rows.unionByName(x)
@@ -78,9 +83,18 @@ def paths(nodes: DataFrame) -> DataFrame:
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """Messages (tree, node, parent, role, text, score) to conversations: tree, leaf, formatted and
     loss, the spans (start, length, in characters) of assistants' texts within formatted."""
-    table = written(messages)
+    table, parts = written(messages), []
     nodes = table.df()
-    steps = paths(nodes.select("node", "parent")).join(nodes.select("node", "tree", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "node")
+    found = written(paths(nodes.select("node", "parent"), parts))
+    for t in parts:
+        t.drop()
+    steps = found.df()
+    if branches:
+        # scores alone say which branches stay; only theirs get texts
+        scores = steps.join(nodes.select("node", "tree", F.coalesce("score", F.lit(0.0)).alias("score")), "node").groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+        best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
+        steps = steps.join(scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("leaf"), "leaf", "left_semi")
+    steps = steps.join(nodes.select("node", "tree", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")), "node")
     branch = Window.partitionBy("tree", "leaf")
     above = branch.orderBy(F.desc("up"))
     inner = escape(F.col("text"))
@@ -89,12 +103,8 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     turn = turn.withColumn("ends", F.sum(F.char_length("turn")).over(above))
     span = F.struct((F.col("ends") - F.char_length("turn") + F.char_length("head")).cast("long").alias("start"), F.char_length("inner").cast("long").alias("length"))
     rows = turn.groupBy("tree", "leaf").agg(
-        F.sum("score").alias("score"),
         F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "turn", F.when(F.col("role") == "assistant", span).alias("span")))).alias("turns"),
     )
-    if branches:
-        best = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-        rows = rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
     spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull())
     return rows.select("tree", "leaf", F.concat_ws("", F.transform("turns", lambda t: t["turn"])).alias("formatted"), spans.alias("loss"))
 

@@ -185,6 +185,12 @@ def test_best_branch(spark):
     assert chat.format_trees(df, branches=0).count() == 3 and chat.format_trees(df.where("1 = 0")).count() == 0
 
 
+def test_threads_of_clashing_and_no_rows(spark):
+    df = spark.createDataFrame([(1, 1, "user", "a", "t", 5), (1, 2, "assistant", "b", "u", 6)], "conv_id long, turn long, role string, text string, tree string, at int")
+    assert [t.text for t in chat.format_trees(chat.thread(df)).select(chat.read_back(F.col("formatted")).alias("turns")).first().turns] == ["a", "b"]
+    assert chat.format_trees(chat.thread(df.where("1 = 0"))).count() == 0
+
+
 def test_query_adds_a_conversation(spark):
     rows = {r.conv_id: r for r in chat.op8_chat_formatting(spark, "/root/testdata/sf0.001").collect()}
     text = "<|im_end|><|im_start|>assistant ok"
