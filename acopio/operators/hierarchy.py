@@ -62,10 +62,22 @@ def move_refused(terms: DataFrame, moved: int, to: int) -> DataFrame:
 
 
 def paths(terms: DataFrame) -> DataFrame:
-    """HI2, HI3: names from root to term joined by a mark, and the depth; orphans are roots."""
-    names = terms.select(F.col("id").alias("ancestor"), "name")
-    rows = closure(terms).join(names, "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "name"))).alias("p"))
-    return rows.select("id", F.array_join(F.transform("p", lambda x: x["name"]), " › ").alias("path"), (F.size("p") - 1).alias("depth"))
+    """HI2, HI3: names from root to term joined by a mark, and the depth; orphans are roots.  Terms on or below
+    a loop have no path.
+
+    Each round puts what leads to a term's topmost known ancestor before its own names: a row a term, and
+    twice the reach.
+    """
+    _checkpoints(terms.sparkSession)
+    known = terms.select(F.col("id").alias("parent"), F.lit(True).alias("acopio_known"))
+    x = terms.join(known, "parent", "left").select("id", F.when(F.col("acopio_known"), F.col("parent")).alias("above"), F.array("name").alias("names")).checkpoint()
+    reach, total = 1, terms.count()
+    while reach <= total and not x.where("above is not null").isEmpty():
+        up = x.select(F.col("id").alias("above"), F.col("above").alias("top"), F.col("names").alias("before"))
+        joined = x.join(up, "above", "left")
+        x = joined.select("id", F.col("top").alias("above"), F.when(F.col("before").isNull(), F.col("names")).otherwise(F.concat("before", "names")).alias("names")).checkpoint()
+        reach *= 2
+    return x.where("above is null").select("id", F.array_join("names", " › ").alias("path"), (F.size("names") - 1).alias("depth"))
 
 
 def prune(terms: DataFrame, bodies: DataFrame) -> DataFrame:

@@ -14,16 +14,17 @@ PATHS = ("FORMALISATION", "BIDDER", "NAME_DERIVED", "UNRESOLVED")
 def tender_rows(tenders: DataFrame, awards: DataFrame, lots: DataFrame) -> DataFrame:
     """AG12-AG14, JN13: a row a tender with its amount, basis, completeness and awardee.
 
-    Awards and lots are aggregated before they are joined, so nothing multiplies.
+    Awards and lots are aggregated before they are joined, so nothing multiplies.  Both are stored by (tender, lot),
+    so their lots are counted without looking for repeats; only awardees repeat.
     """
     live = awards.where(~F.col("withdrawn"))
     per_award = live.groupBy("tender").agg(
         F.sum("amount").alias("awarded"),
-        F.countDistinct(F.when(F.col("amount").isNotNull(), F.col("lot"))).alias("awarded_lots"),
+        F.count(F.when(F.col("amount").isNotNull(), F.col("lot"))).alias("awarded_lots"),
         F.countDistinct("supplier_id").alias("n_awardees"),
         F.max("supplier_id").alias("one_awardee"),
     )
-    per_lot = lots.where(~F.col("withdrawn")).groupBy("tender").agg(F.countDistinct("lot").alias("stored_lots"))
+    per_lot = lots.where(~F.col("withdrawn")).groupBy("tender").agg(F.count("lot").alias("stored_lots"))
     t = tenders.join(per_award, "tender", "left").join(per_lot, "tender", "left")
     lot_count = F.greatest(F.coalesce("stored_lots", F.lit(0)), F.coalesce("lote_count", F.lit(0)))
     basis = F.when(F.col("awarded").isNotNull(), "AWARDED").when(F.col("base_budget").isNotNull(), "BUDGET").otherwise("UNSTATED")
