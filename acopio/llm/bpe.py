@@ -11,7 +11,9 @@ separated chunks, and a bounded per-worker table remembers the chunks seen latel
 The table only saves time: it is emptied when full and every chunk is still encoded.
 
 Defined results: null text is the empty text; the empty text has no ids and decodes
-to the empty string; repeated rows and any other columns are kept as they are.
+to the empty string; repeated rows and any other columns are kept as they are (a column named like a new
+one is replaced); texts of any length are encoded whole, of pairs of equal rank the leftmost first; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

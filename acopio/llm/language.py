@@ -17,7 +17,9 @@ transition and start weights follow the gradient of the likelihood, whose pair p
 those of forward-backward.
 
 Defined results: null text, or one without letters: ``und`` with score 0; null labels teach
-nothing; with no labelled documents everything is ``und``; repeated rows score alike.
+nothing; with no labelled documents everything is ``und``; repeated rows score alike; of labels that are equally
+likely the first in order is taken; texts of any length are labelled whole; an empty table gives no
+rows; all other columns, whatever their names, stay as they are (``lang_pred`` and ``score`` are replaced).
 """
 
 from __future__ import annotations

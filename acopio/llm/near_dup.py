@@ -14,7 +14,9 @@ spanning set of links leaves: nothing emits all pairs of a group.
 
 Defined results: null text or text without words has no shingles and is linked with nothing; fewer
 than five words are one shingle, the whole sequence; a null doc_id is its own (null)
-component and kept; rows that share a doc_id are one node.
+component and kept; rows that share a doc_id are one node; texts of any length are shingled whole; equal
+texts are one class whose smallest doc_id is kept; an empty table gives no rows; columns other than doc_id and text are
+not looked at, and ``keep_one`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from acopio.llm.bpe import Remembered
 from acopio.llm.graph import components
-from acopio.llm.shared import Table, add_columns, buckets, tidy, written
+from acopio.llm.shared import Table, add_columns, buckets, fresh, tidy, written
 
 WORDS, THREE, MISS = 5, 3, 0.002
 #: Shingles that a part of a block holds.
@@ -197,11 +199,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, part
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs without those of a group's later documents (repeated rows of a kept id stay)."""
     tables: list[Table] = []
-    gone = written(near_duplicates(docs, percent, tables=tables).where(~F.col("kept")).select(F.col("doc_id").alias("acopio_gone")).distinct())
+    name = fresh(docs, "acopio_gone")
+    gone = written(near_duplicates(docs, percent, tables=tables).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
     for t in tables:
         t.drop()
     tidy(docs.sparkSession)
-    return docs.join(gone.df(), F.col("doc_id") == F.col("acopio_gone"), "left_anti")
+    return docs.join(gone.df(), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op6_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

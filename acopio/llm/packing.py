@@ -9,7 +9,8 @@ so a length that a third of all pieces have is spread over SALTS tasks.
 
 Defined results: null or empty text is one piece holding only the terminator; a text
 longer than ``size`` ids is cut into pieces of ``size``, the last may be shorter; null and
-repeated doc_ids are packed like any others; an empty table gives no rows.
+repeated doc_ids are packed like any others; an empty table gives no rows; columns other than
+doc_id and text are not looked at; pieces of equal length are ranked by doc_id, piece, start and checksum.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ The fit uses a bounded sample: of the labelled rows outside the held-out fold, t
 Scores depend on the text alone.
 
 Defined results: null text scores as the empty text; rows with a null label teach nothing;
-with no or one-sided labels the score is the (smoothed) share of label 1 for every row.
+with no or one-sided labels the score is the (smoothed) share of label 1 for every row; a doc_id that is
+labelled several times counts once, with its largest label; whole texts of any length are read, in
+time linear in them; equal texts score alike; an empty table gives no rows; all other columns, whatever their
+names, stay as they are (a column named like a new one is replaced).
 """
 
 from __future__ import annotations

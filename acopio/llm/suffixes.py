@@ -17,7 +17,9 @@ out with all its occurrences.  Every repeat marks its occurrences in documents a
 
 Defined results: null text is empty; texts under LEAST bytes lose nothing; a null doc_id comes after
 all others (and null ones don't make each other's bytes go); rows that share a
-doc_id are one place: they lose nothing to each other.
+doc_id are one place: they lose nothing to each other; texts of any length, periodic ones too, are
+read whole; an empty table gives no rows; all other columns, whatever their names, stay as they are (``n_bytes``,
+``spans`` and ``kept`` are added).
 """
 
 from __future__ import annotations
