@@ -18,6 +18,11 @@ def visible(year: int | None = None, body: str | None = None) -> Column:
     return c if body is None else c & (F.col("body") == body)
 
 
+def visible_tender(body: str, year: int) -> Column:
+    """FIL4: a body's tenders of a year that are not withdrawn; no other value is needed."""
+    return (F.col("body") == body) & (F.col("publication_year") == year) & ~F.col("withdrawn")
+
+
 def eligible() -> Column:
     """FIL6: bodies to import."""
     return F.col("active") & F.col("importable")

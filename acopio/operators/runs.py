@@ -90,6 +90,23 @@ def run_list(runs: DataFrame, coverage: DataFrame, importer: str | None = None,
     return x.orderBy(F.desc("started_at"), F.desc("run"))
 
 
+def enumerated(runs: DataFrame) -> DataFrame:
+    """UPS19, AR1: a run's two parallel arrays (bodies, families) as coverage rows, pending, with zero counters."""
+    pairs = runs.select("run", F.explode(F.arrays_zip("bodies", "families")).alias("x"))
+    return pairs.select("run", F.col("x.bodies").alias("body"), F.col("x.families").alias("family"), F.lit("PENDING").alias("state"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("refreshed"))
+
+
+def settled(coverage: DataFrame, log: DataFrame) -> DataFrame:
+    """UPS19, AG7: coverage after a log (run, body, family, added, refreshed, state) of what happened: counters add
+    up, and a state is taken only by a row that is not settled yet, the first that settles it by ``pos``."""
+    key = ["run", "body", "family"]
+    ends = F.min(F.when(F.col("state").isin("SUCCEEDED", "FAILED", "SKIPPED", "STOPPED"), F.struct("pos", "state")))
+    told = log.groupBy(*key).agg(F.sum("added").alias("more"), F.sum("refreshed").alias("again"), ends.alias("end"))
+    open_ = F.col("state").isin("PENDING", "IN_PROGRESS")
+    x = coverage.join(told, key, "left")
+    return x.select(*key, F.when(open_ & F.col("end").isNotNull(), F.col("end.state")).otherwise(F.col("state")).alias("state"), (F.col("added") + F.coalesce("more", F.lit(0))).alias("added"), (F.col("refreshed") + F.coalesce("again", F.lit(0))).alias("refreshed"))
+
+
 def unsettled(coverage: DataFrame, states: tuple[str, ...] = ("PENDING", "IN_PROGRESS"), family: str | None = None) -> DataFrame:
     """FIL9, FIL10: coverage rows in one of the states, of one family if asked."""
     x = coverage.where(F.col("state").isin(*states))

@@ -91,6 +91,12 @@ def ledger(stored: DataFrame, failed: DataFrame, cleared: DataFrame, keys: Seque
     return upsert(stored, failed, keys).join(cleared.select(*keys), list(keys), "left_anti")
 
 
+def outstanding_by(records: DataFrame, bodies: DataFrame) -> DataFrame:
+    """UPS12, AG3: bodies with how many records are outstanding, and whether any is."""
+    n = records.groupBy("body").agg(F.count("*").alias("outstanding"))
+    return bodies.join(n, "body", "left").select("body", F.coalesce("outstanding", F.lit(0)).alias("outstanding"), F.col("outstanding").isNotNull().alias("has_outstanding"))
+
+
 def withdraw_absent(stored: DataFrame, reread: DataFrame, parent: str, keys: Sequence[str]) -> DataFrame:
     """SP8: children of re-read parents that are not in the record any more become withdrawn; those
     of other parents stay; a removal by an administrator is sticky."""

@@ -222,6 +222,54 @@ def cpv_labels(spark, sf):
     return tenders.cpv_facets(roles.tenders(spark, sf).where("body = '3-MEDIUM' and publication_year = 1998"), roles.classes(spark, sf), words)
 
 
+@Q.query(with_ctes("tenders") + "SELECT tender FROM tenders WHERE body = '2-HIGH' AND publication_year = 1996 AND tender % 19 <> 0")
+def visible_tenders(spark, sf):
+    """FIL4."""
+    t = roles.tenders(spark, sf).withColumn("withdrawn", F.col("tender") % 19 == 0)
+    return t.where(browse.visible_tender("2-HIGH", 1996)).select("tender")
+
+
+@Q.query("SELECT c_custkey AS run, unnest([1, 2, 3]) AS body, unnest(['CONTRACTS', 'TENDERS', 'CONTRACTS']) AS family, 'PENDING' AS state, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS refreshed FROM customer")
+def run_coverage(spark, sf):
+    """UPS19 AR1: coverage from two parallel arrays."""
+    both = roles.table(spark, sf, "customer").select(F.col("c_custkey").alias("run"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("bodies"), F.array(F.lit("CONTRACTS"), F.lit("TENDERS"), F.lit("CONTRACTS")).alias("families"))
+    return runs.enumerated(both)
+
+
+@Q.query("""WITH c AS (SELECT DISTINCT user_id AS run, event_id % 3 AS body, 'CONTRACTS' AS family FROM events), l AS (SELECT user_id AS run, event_id % 3 AS body, sum(event_id % 5) AS a, sum(event_id % 2) AS r,
+    arg_min(CASE event_type WHEN 'error' THEN 'FAILED' ELSE 'SUCCEEDED' END, event_id) FILTER (WHERE event_id % 4 = 0) AS s FROM events WHERE event_id % 6 <> 0 GROUP BY ALL)
+    SELECT c.run, c.body, c.family, CASE WHEN c.run % 7 = 0 THEN 'STOPPED' ELSE coalesce(l.s, 'PENDING') END AS state, CAST(coalesce(a, 0) AS BIGINT) AS added, CAST(coalesce(r, 0) AS BIGINT) AS refreshed FROM c LEFT JOIN l ON l.run = c.run AND l.body = c.body""")
+def run_settled(spark, sf):
+    """UPS19 AG7: counters add up; a settled row's state stays."""
+    e = roles.table(spark, sf, "events").select(F.col("user_id").alias("run"), (F.col("event_id") % 3).alias("body"), F.lit("CONTRACTS").alias("family"), F.col("event_id").alias("pos"), "event_type")
+    rows = e.select("run", "body", "family").distinct().select("*", F.when(F.col("run") % 7 == 0, "STOPPED").otherwise("PENDING").alias("state"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("refreshed"))
+    state = F.when(F.col("pos") % 4 == 0, F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCEEDED")).otherwise("IN_PROGRESS")
+    log = e.where("pos % 6 <> 0").select("run", "body", "family", "pos", (F.col("pos") % 5).alias("added"), (F.col("pos") % 2).alias("refreshed"), state.alias("state"))
+    return runs.settled(rows, log)
+
+
+@Q.query("SELECT c_custkey AS body, CAST(coalesce(n, 0) AS BIGINT) AS outstanding, n IS NOT NULL AS has_outstanding FROM customer LEFT JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) ON k = c_custkey")
+def outstanding_bodies(spark, sf):
+    """UPS12 AG3: bodies with records to read again."""
+    return upsert.outstanding_by(roles.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("body")), roles.table(spark, sf, "customer").select(F.col("c_custkey").alias("body")))
+
+
+@Q.query("SELECT user_id, CAST(sum(coalesce(floor(gap / 15), 0)) AS BIGINT) AS beats FROM (SELECT user_id, epoch_us(ts) / 1000000.0 - lag(epoch_us(ts) / 1000000.0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) GROUP BY user_id")
+def stream_heartbeats(spark, sf):
+    """ST1: a beat for every fifteen seconds without a sample."""
+    from acopio.streaming import metrics
+
+    return metrics.heartbeats(roles.table(spark, sf, "events"), "user_id")
+
+
+@Q.query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events WHERE value IS NOT NULL AND value >= 0 GROUP BY user_id")
+def stream_latest(spark, sf):
+    """ST1: failing samples are skipped, of the others the newest is shown."""
+    from acopio.streaming import metrics
+
+    return metrics.latest(metrics.readable(roles.table(spark, sf, "events")), "user_id").select("user_id", "event_id")
+
+
 @Q.query(with_ctes("runs", "coverage") + "SELECT run FROM runs WHERE trigger = 'MANUAL' AND state = 'SUCCEEDED' AND started_at < TIMESTAMP '2024-01-20' AND run IN (SELECT run FROM coverage WHERE mode = 'RESUMED') AND run IN (SELECT run FROM coverage WHERE body = 2)")
 def run_list_narrowed(spark, sf):
     """FIL14: mode and body match if any covered row does, each on its own."""

@@ -25,6 +25,25 @@ def counters(samples: DataFrame) -> DataFrame:
     return samples.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.greatest("value", F.lit(0.0)).cast("decimal(18,6)")).alias("total"))
 
 
+def readable(samples: DataFrame) -> DataFrame:
+    """ST1: a sample that failed (no value, or none that can be) is skipped, and the stream goes on."""
+    return samples.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") >= 0))
+
+
+def latest(samples: DataFrame, by: str) -> DataFrame:
+    """ST1: of what has come since a slow reader looked, the newest sample alone."""
+    return samples.groupBy(by).agg(F.max(F.struct("ts", "event_id", "value")).alias("x")).select(by, "x.event_id", "x.value")
+
+
+def heartbeats(samples: DataFrame, by: str, every: int = 15) -> DataFrame:
+    """ST1: beats between the samples of a source, one for every ``every`` seconds in which none came."""
+    from pyspark.sql import Window
+
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    gap = seconds(F.col("ts")) - seconds(F.lag("ts").over(Window.partitionBy(by).orderBy("ts", "event_id")))
+    return samples.select(by, F.coalesce(F.floor(gap / every), F.lit(0)).alias("beats")).groupBy(by).agg(F.sum("beats").alias("beats"))
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
     """Everything there is, then stop; the result is an in-memory table."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

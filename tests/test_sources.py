@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import urllib.error
 from datetime import date
 
@@ -138,3 +139,19 @@ def test_stream(spark, tmp_path):
     stream = metrics.read_samples(spark, "/root/testdata/sf0.001", names="events.parquet")
     metrics.run_once(metrics.counters(stream), "counted", str(tmp_path / "c"))
     assert spark.table("counted").groupBy().sum("n").first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_guard(spark, tmp_path):
+    from acopio.streaming.guard import Guard
+
+    now = [time.time()]
+    one, two = (Guard(spark, str(tmp_path / "guard"), stale=60, clock=lambda: now[0]) for _ in range(2))
+    assert one.acquire() and not two.acquire()
+    now[0] += 50
+    one.renew()
+    now[0] += 50
+    assert not two.acquire()
+    one.release()
+    assert two.acquire() and not one.acquire()
+    now[0] += 200
+    assert one.acquire()  # the other did not renew
