@@ -36,6 +36,7 @@ as the empty text; columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -47,12 +48,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from acopio.llm.bpe import Remembered
-from acopio.llm.shared import buckets, crc_mod, release, small_batches, text_slices, tidy, written
+from acopio.llm.shared import buckets, crc_mod, release, small_batches, text_slices, tidy, written, written_apart
 
 BURN_IN, SAMPLES, INNER = 1, 3, 2
 END = 0
 PACK = 6 << 20
-LONG, HEAVY, HEAVY_DOCS = 64, 4_000, 4_000
+LONG, HEAVY, HEAVY_DOCS, COMMON = 64, 4_000, 4_000, 1 << 15
 #: What strength and the root's base weight (a word's share) are drawn from.
 STRENGTHS, WEIGHTS = 10.0 ** np.linspace(-2, 2, 17), 10.0 ** np.linspace(-3, 1, 17)
 
@@ -67,6 +68,12 @@ def _code(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) or 1
 
 
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Distinct values of sorted arrays, sorted: a merge."""
+    x = np.sort(np.concatenate(parts), kind="stable")
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _small(x: np.ndarray) -> np.ndarray:
     top = x.max(initial=0)
     return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 2**32 else np.int64)
@@ -97,6 +104,8 @@ def unpacked(value) -> list[np.ndarray]:
 def lgamma(x) -> np.ndarray:
     """log Gamma of positive numbers, by Stirling's series seven steps on."""
     x = np.asarray(x, float)
+    if x.ndim == 1 and x.size < 48:  # a call of a few numbers costs less one by one
+        return np.fromiter(map(math.lgamma, x), float, x.size)
     rise = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
     y = x + 7
     series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
@@ -107,6 +116,19 @@ def lgamma(x) -> np.ndarray:
 # ---------------------------------------------------------------- seating
 
 
+def rising(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log of z (z + 1) ... (z + n - 1), for whole n of 1 and more."""
+    top = int(n.max(initial=1))
+    out = z
+    for k in range(1, min(top, 4)):
+        out = np.where(n > k, out * (z + k), out)
+    out = np.log(out)
+    if top > 4:
+        far = np.nonzero(n > 4)[0]
+        out[far] = lgamma(z[far] + n[far]) - lgamma(z[far])
+    return out
+
+
 def seated(c: np.ndarray, lam: np.ndarray, d: float, rng=None, many: np.ndarray | None = None, when: np.ndarray | None = None):
     """Seatings of dishes whose c customers sit down one after the other: how many opened a table after the
     first; how many sat when they did, dish after dish; and the log of a seating's target over its proposal.
@@ -120,34 +142,42 @@ def seated(c: np.ndarray, lam: np.ndarray, d: float, rng=None, many: np.ndarray
     owner, moments = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     begin = np.cumsum(many) - many if rng is None else None
     active = np.nonzero(c > 1)[0]
+    end = np.full(len(active), 2)
     while len(active):
-        n, at, sat = c[active], i[active], d * (own[active] + 1)
-        end = np.minimum(2 ** (np.floor(np.log2(at)).astype(np.int64) + 1), n)
-        y = lam[active] * (end / n) ** d
-        from_here = lgamma(at - sat + y)
+        n, at, tables = c[active], i[active], own[active]
+        end = np.minimum(end, n)
+        sat = at - d * (tables + 1)
+        part = end / n
+        y = lam[active] * part**d
         if rng is None:
-            left = own[active] < many[active]
-            to = np.where(left, when[np.where(left, begin[active] + own[active], 0)] + 1, end + 1) if len(when) else end + 1
+            to = end + 1
+            left = np.nonzero(tables < many[active])[0]
+            to[left] = when[begin[active[left]] + tables[left]] + 1
             opens = to <= end
             to = np.minimum(to, end)
         else:
-            # log of the probability that nobody opens a table until m sit
-            none = lambda m, s: s[0] + lgamma(m - s[1]) - lgamma(m - s[1] + s[2])
-            s = (from_here - lgamma(at - sat), sat, y)
+            # log of the probability that nobody opens a table until all of a block sit
             u = np.log(rng.random(len(active)))
-            opens = none(end, s) <= u
-            to, at_open = end.copy(), np.nonzero(opens)[0]
-            lo, hi, u, s = at[opens], end[opens], u[opens], tuple(v[opens] for v in s)
+            opens = rising(sat, end - at) - rising(sat + y, end - at) <= u
+            to, k = end.copy(), np.nonzero(opens)[0]
+            k = k[end[k] - at[k] > 1]
+            lo, hi = at[k], end[k]
+            # nearly, the probability that nobody opens falls as a power of those who sit: where that says, first
+            guess = at[k] + np.clip((sat[k] + y[k] / 2 - 0.5) * np.expm1(np.minimum(-u[k] / y[k], 50)), 0, hi - lo).astype(np.int64)
+            step = 0
             while (wide := hi - lo > 1).any():  # nobody opens until lo sit; somebody does before hi sit
-                mid = (lo + hi) // 2
-                yes = none(mid, s) <= u
+                mid = np.clip(guess + step, lo + 1, np.maximum(hi - 1, lo + 1)) if step < 2 else (lo + hi) // 2
+                step += 1
+                some = np.maximum(mid - at[k], 1)
+                yes = rising(sat[k], some) - rising(sat[k] + y[k], some) <= u[k]
                 hi, lo = np.where(wide & yes, mid, hi), np.where(wide & ~yes, mid, lo)
-            to[at_open] = hi
-        log[active] += lgamma(to - sat + y) - from_here + np.where(opens, d * np.log(n / end), 0)
+            to[k] = hi
+        log[active] += rising(sat + y, to - at) - np.where(opens, d * np.log(part), 0)
         owner.append(active[opens]), moments.append(to[opens] - 1)
         own[active] += opens
         i[active] = to
-        active = active[to < n]
+        stay = to < n
+        active, end = active[stay], np.where(to == end, 2 * end, end)[stay]
     owner, moments = np.concatenate(owner), np.concatenate(moments)
     return own, moments[np.argsort(owner, kind="stable")], log
 
@@ -158,18 +188,20 @@ def resat(c: np.ndarray, many: np.ndarray, when: np.ndarray, lam: np.ndarray, d:
 
     A seating is proposed by the Chinese-restaurant process of ``seated``; the old one is weighed under the lam of now.
     """
-    some = c > 1
-    at = np.nonzero(some)[0]
-    if not len(at):
-        return many, when
-    x = np.maximum(lam[at], 1e-300)
-    new, new_when, log = seated(c[at], x, d, rng)
-    yes = np.log(rng.random(len(at))) < log - seated(c[at], x, d, None, many[at], when)[2]
-    owner = np.concatenate([np.repeat(np.arange(len(at)), many[at])[np.repeat(~yes, many[at])], np.repeat(np.arange(len(at)), new)[np.repeat(yes, new)]])
-    both = np.concatenate([when[np.repeat(~yes, many[at])], new_when[np.repeat(yes, new)]])
     out = many.copy()
-    out[at] = np.where(yes, new, many[at])
-    return out, both[np.argsort(owner, kind="stable")]
+    # of two customers the second opens a table with the target's own probability: nothing to weigh
+    two, at = np.nonzero(c == 2)[0], np.nonzero(c > 2)[0]
+    out[two] = rng.random(len(two)) * (lam[two] + 1 - d) < lam[two]
+    opened = np.repeat(np.arange(len(c)), many)
+    when_at = when[c[opened] > 2]
+    old, x = many[at], np.maximum(lam[at], 1e-300)
+    new, new_when, log = seated(c[at], x, d, rng)
+    yes = np.log(rng.random(len(at))) < log - seated(c[at], x, d, None, old, when_at)[2]
+    out[at] = np.where(yes, new, old)
+    stays, comes = np.repeat(~yes, old), np.repeat(yes, new)
+    owner = np.concatenate([two[out[two] == 1], np.repeat(at, old)[stays], np.repeat(at, new)[comes]])
+    moments = np.concatenate([np.ones(int(out[two].sum()), np.int64), when_at[stays], new_when[comes]])
+    return out, moments[np.argsort(owner, kind="stable")]
 
 
 def sweep(u: np.ndarray, c: np.ndarray, many: np.ndarray, when: np.ndarray, word: np.ndarray, share: np.ndarray, contexts: int, s: float, d: float, rng, given=None):
@@ -188,8 +220,12 @@ def drawn(rng, grid: np.ndarray, log: np.ndarray) -> float:
 
 def strength_log(tables: np.ndarray, customers: np.ndarray, d: float) -> np.ndarray:
     """Of each strength the log likelihood of restaurants, in parts that can be added."""
+    if not len(tables):
+        return np.zeros(len(STRENGTHS))
+    most = int(np.max(customers)) + 1
+    pairs, n = np.unique(np.asarray(tables, np.int64) * most + np.asarray(customers, np.int64), return_counts=True)  # most contexts are rare
     r = STRENGTHS[:, None]
-    return (lgamma(r / d + tables) - lgamma(r / d) + lgamma(r) - lgamma(r + customers)).sum(1)
+    return ((lgamma(r / d + pairs // most) - lgamma(r / d) + lgamma(r) - lgamma(r + pairs % most)) * n).sum(1)
 
 
 def weight_log(n: int, total_log: float) -> np.ndarray:
@@ -203,7 +239,7 @@ def weight_log(n: int, total_log: float) -> np.ndarray:
 class Tokens:
     """Codes and documents of the tokens of a list of texts."""
 
-    def __init__(self, remember: int = 300_000):
+    def __init__(self, remember: int = 150_000):
         self.memory = Remembered(_code, remember)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,9 +252,10 @@ class Tokens:
         return np.concatenate(parts), np.repeat(np.arange(len(texts)), sizes)
 
 
-def _heavy(bare: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts with more than a quarter of a cell's share of the tokens, and over how many cells each
-    goes.  From at most HEAVY_DOCS documents: it changes where a dish lies, not what is counted."""
+def _heavy(bare: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts with more than a quarter of a cell's share of the tokens, over how many cells each
+    goes, and at most COMMON frequent words, which packs name by number.  From about HEAVY_DOCS documents:
+    it changes where a dish lies and how a word is written, not what is counted."""
     part = min(1.0, HEAVY_DOCS / max(1, bare.count()))
     some = bare.where(F.xxhash64("i", F.lit(11)) / 2.0**64 + 0.5 <= part)
 
@@ -233,10 +270,11 @@ def _heavy(bare: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
     counts = some.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 1
     found = counts.where(F.col("n") > max(8.0, total / min(4 * cells, HEAVY))).collect()  # at most HEAVY words
+    often = counts.orderBy(F.desc("n"), "w").limit(COMMON).toArrow()["w"].to_numpy()  # at most COMMON numbers
     words = np.array([r.w for r in found], np.int64).view(np.uint64)
     parts = np.minimum(cells, np.ceil(np.array([r.n for r in found], float) / total * 4 * cells)).astype(np.int64)
     order = np.argsort(words)
-    return words[order], parts[order]
+    return words[order], parts[order], np.sort(often.astype(np.int64).view(np.uint64))
 
 
 def _where(u: np.ndarray, w: np.ndarray, cells: int, heavy) -> np.ndarray:
@@ -252,39 +290,60 @@ def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _packs(cells: int, heavy):
+def _slices_of(batches):
+    """(rows, texts) of packs of about PACK bytes: several batches together."""
+    rows, texts, size = [], [], 0
+    for part, some in text_slices(batches, "t", PACK):
+        rows.append(part.select(["i", "held_out"]))
+        texts += some
+        size += part.column("t").nbytes
+        if size >= PACK:
+            yield pa.Table.from_batches(rows), texts
+            rows, texts, size = [], [], 0
+    if rows:
+        yield pa.Table.from_batches(rows), texts
+
+
+def _packs(cells: int, shared):
     """Of packs of documents: for each cell its pairs and who holds them, and the pack's own row."""
 
     def run(batches):
+        *heavy, common = shared.value
         tokens = Tokens()
         task = TaskContext.get().partitionId()
-        for nth, (part, texts) in enumerate(text_slices(batches, "t", PACK)):
+        for nth, (part, texts) in enumerate(_slices_of(batches)):
             name = task << 32 | nth  # the same when a lost task runs again
-            out = part.column("held_out").to_numpy(zero_copy_only=False)
+            out = part.column("held_out").to_numpy()
             turn = np.argsort(out, kind="stable")  # training documents first
             train = int((~out).sum())
             code, doc = tokens([texts[k] for k in turn.tolist()])
-            words, w = np.unique(code, return_inverse=True)
-            pair = np.append(0, w[:-1]) * len(words) + w  # the end token, code 0, comes before each first word
+            many, doc = len(texts), doc.astype(np.int32)
+            words, pair = np.unique(code, return_inverse=True)
+            del code, texts
+            pair[1:] += pair[:-1] * len(words)  # the end token, code 0, comes before each first word
             order = np.argsort(pair, kind="stable")
-            by = pair[order]
+            by, doc_by = pair[order], doc[order]
+            del pair, order
             start = np.nonzero(np.append(True, by[1:] != by[:-1]))[0]
             n = np.diff(np.append(start, len(by)))
             u, w = by[start] // len(words), by[start] % len(words)
-            doc_by = doc[order]
+            del by
             taught = np.add.reduceat((doc_by < train).astype(np.int64), start)
             cell = _where(words[u], words[w], cells, heavy)
             turn_by = np.argsort(cell, kind="stable")
+            place = np.minimum(np.searchsorted(common, words), max(0, len(common) - 1))
+            often = common[place] == words if len(common) else np.zeros(len(words), bool)
             cut = np.searchsorted(cell[turn_by], np.arange(cells + 1))
             long = turn_by[n[turn_by] >= LONG]
-            head = pickle.dumps((part.column("i").take(pa.array(turn)).to_pylist(), out[turn], np.bincount(doc, minlength=len(texts)), _small(cell[long]), _small(n[long]), _small(doc_by[_ranges(start[long], n[long])])), 5)
+            head = pickle.dumps((part.column("i").take(pa.array(turn)).to_pylist(), out[turn], np.bincount(doc, minlength=many), _small(cell[long]), _small(n[long]), _small(doc_by[_ranges(start[long], n[long])])), 5)
             rows = [(name % cells, name, None, head)]
             for b in np.nonzero(np.diff(cut))[0].tolist():
                 x = turn_by[cut[b] : cut[b + 1]]
                 own, first = np.unique(u[x], return_index=True)
                 mine, inv = np.unique(w[x], return_inverse=True)
                 short = x[n[x] < LONG]
-                rows.append((b, name, packed(words[own], _small(np.diff(np.append(first, len(x)))), words[mine], _small(inv), _small(n[x]), _small(taught[x]), _small(doc_by[_ranges(start[short], n[short])])), None))
+                known = often[mine]
+                rows.append((b, name, packed(words[own], _small(np.diff(np.append(first, len(x)))), _small(np.diff(place[mine[known]], prepend=0)), words[mine[~known]], _small(inv), _small(n[x]), _small(taught[x]), _small(doc_by[_ranges(start[short], n[short])])), None))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["cell", "pack", "data", "head"])
         del tokens
         release()
@@ -292,30 +351,33 @@ def _packs(cells: int, heavy):
     return run
 
 
-def _gathered(cells: int, heavy):
+def _gathered(roots: int, shared):
     """Of a cell: its words (by root cell), its dishes, for each pack who holds them; and the packs' own rows."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [(0, p, None, None, None, h) for p, h in zip(table.column("pack").to_pylist(), table.column("head").to_pylist(), strict=True) if h is not None]
+        *heavy, common = shared.value
+        words_of = lambda step, rest: np.sort(np.append(common[np.cumsum(step, dtype=np.int64)], rest), kind="stable")
+        cell = table.column("cell")[0].as_py()
+        rows = [("head", cell, p, h) for p, h in zip(table.column("pack").to_pylist(), table.column("head").to_pylist(), strict=True) if h is not None]
         packs = [(p, x) for p, x in zip(table.column("pack").to_pylist(), table.column("data"), strict=True) if x.is_valid]
         if packs:
             us, ws = [], []
             for _, x in packs:
                 got = unpacked(x)
-                us.append(got[0]), ws.append(got[2])
-            us, ws = np.unique(np.concatenate(us)), np.unique(np.concatenate(ws))
+                us.append(got[0]), ws.append(words_of(*got[2:4]))
+            us, ws = _distinct(us), _distinct(ws)
             keys = []
             for _, x in packs:
-                u, per, w, inv, *_ = unpacked(x)
-                keys.append(np.repeat(np.searchsorted(us, u), per) * len(ws) + np.searchsorted(ws, w)[inv])
-            every = np.unique(np.concatenate(keys))
+                u, per, step, rest, inv, *_ = unpacked(x)
+                keys.append(np.repeat(np.searchsorted(us, u), per) * len(ws) + np.searchsorted(ws, words_of(step, rest))[inv])
+            every = _distinct(keys)
             count, lists = np.zeros(len(every), np.int64), []
             for (name, x), key in zip(packs, keys, strict=True):
                 *_, n, taught, docs = unpacked(x)
                 at = np.searchsorted(every, key)
                 count += np.bincount(at, taught, len(every)).astype(np.int64)
                 lists.append((name, packed(_small(np.diff(at, prepend=0)), n, docs)))
-            root = _mix(ws) % np.uint64(cells)
+            root = _mix(ws) % np.uint64(roots)
             turn = np.argsort(root, kind="stable")
             place = np.empty(len(ws), np.int64)
             place[turn] = np.arange(len(ws))
@@ -324,9 +386,9 @@ def _gathered(cells: int, heavy):
             on = np.nonzero(heavy[0][k] == us)[0] if len(heavy[0]) else np.zeros(0, np.int64)
             words = packed(ws[turn], root[turn], np.bincount(w, count, len(ws)).astype(np.int64), np.bincount(w, count > 0, len(ws)).astype(np.int64))
             state = packed(_small(np.bincount(u, minlength=len(us))), _small(w), _small(count), np.zeros(len(w), np.uint8), np.zeros(0, np.uint8), np.zeros(0, np.float32), np.zeros(0, np.float32), on, k[on], np.array([len(ws)]))
-            rows.append((table.column("cell")[0].as_py(), 0, words, state, pickle.dumps(lists, 5), None))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["cell", "pack", "words", "state", "lists", "head"])
+            rows += [("words", cell, 0, words), ("state", cell, 0, state), ("lists", cell, 0, pickle.dumps(lists, 5))]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "cell", "pack", "data"])
 
     return run
 
@@ -337,7 +399,7 @@ def _gathered(cells: int, heavy):
 def _first_up(batches):
     """Of cells: to each root cell the words' codes, customers and tables."""
     for batch in batches:
-        for b, x in zip(batch.column("cell").to_pylist(), batch.column("words"), strict=True):
+        for b, x in zip(batch.column("cell").to_pylist(), batch.column("data"), strict=True):
             code, root, n, t = unpacked(x)
             yield _sent(b, root.astype(np.int64), code, _small(n), _small(t))
 
@@ -425,7 +487,7 @@ def _shares(rows: pa.Table, norm: float, unknown: float) -> np.ndarray:
     return np.where(g < 0, unknown, g) / norm
 
 
-def _swept(cells: int, shared):
+def _swept(shared):
     """Of a cell: seats drawn anew given the root's draw; the cell's new row, its tables for
     the root cells, and what the driver adds up."""
 
@@ -562,21 +624,26 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, burn_in: int = BUR
     spark = docs.sparkSession
     small_batches(spark)
     cells = 2 * buckets(spark)
+    roots = max(4, cells // 8)  # a root cell holds words with a few numbers each
     rng = np.random.default_rng(seed)
     bare = docs.select(F.col("doc_id").alias("i"), (crc_mod("doc_id", folds) == out_fold).alias("held_out"), F.coalesce("text", F.lit("")).alias("t"))
     heavy = _heavy(bare, cells)
-    dealt = bare.mapInArrow(_packs(cells, heavy), "cell int, pack long, data binary, head binary")
-    made = written(dealt.groupBy("cell").applyInArrow(_gathered(cells, heavy), "cell int, pack long, words binary, state binary, lists binary, head binary"))
+    dealing = spark.sparkContext.broadcast(heavy)
+    dealt = bare.mapInArrow(_packs(cells, dealing), "cell int, pack long, data binary, head binary")
+    gathered = dealt.groupBy("cell").applyInArrow(_gathered(roots, dealing), "kind string, cell int, pack long, data binary")
+    made = written_apart(gathered, "kind", ("head", "words", "state", "lists"))
     tidy(spark)
-    first = made.df().where("words is not null")
-    roots = written(first.select("cell", "words").mapInArrow(_first_up, "root int, cell int, data binary").groupBy("root").applyInArrow(_rooted, "root int, state binary, n double, v double"))
+    first = made["state"].df().select("cell", F.col("data").alias("state"))
+    ups = made["words"].df().select("cell", "data").mapInArrow(_first_up, "root int, cell int, data binary")
+    roots = written(ups.groupBy("root").applyInArrow(_rooted, "root int, state binary, n double, v double"))
+    made["words"].drop()
     n, v = (int(x or 0) for x in roots.df().agg(F.sum("n"), F.sum("v")).first())
     sums = _added(first.select("state").mapInArrow(_first_sums, "root int, sums array<double>"), 2)
     totals = _by_heavy(sums, len(heavy[0]))
     one, two = sums.get(-1, np.zeros(2))
     d = float(np.clip(one / (one + 2 * two), 0.05, 0.95)) if one else 0.5
     s, weight, before = 1.0, 1.0, None
-    state, ups, old = first.select("cell", "state"), None, None
+    state, ups, old = first, None, made["state"]
     for turn in range(burn_in + SAMPLES):
         empty = spark.createDataFrame([], "root int, cell int, data binary")
         last = turn == burn_in + SAMPLES - 1
@@ -588,15 +655,14 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, burn_in: int = BUR
         if v:
             weight = drawn(rng, WEIGHTS, weight_log(v + 1, log_g + np.log(max(unknown, 1e-300)) - (v + 1) * np.log(norm)))
         shared = spark.sparkContext.broadcast((seed * 1000 + turn, norm, unknown, s, d, rng.standard_gamma(s / d + totals[1]), before, totals))
-        swept = state.groupBy("cell").cogroup(down.df().where("cell >= 0").select("cell", "root", "data").groupBy("cell")).applyInArrow(_swept(cells, shared), "cell int, root int, state binary, sums array<double>, up binary")
+        swept = state.groupBy("cell").cogroup(down.df().where("cell >= 0").select("cell", "root", "data").groupBy("cell")).applyInArrow(_swept(shared), "cell int, root int, state binary, sums array<double>, up binary")
         new = written(swept)
         before = (s, d) if turn >= burn_in else None
         added = _added(new.df().where("cell < 0").select(F.when(F.col("cell") == -1, -1).otherwise(F.col("root")).alias("root"), "sums"), len(STRENGTHS))
         totals = _by_heavy(added, len(heavy[0]))
         logs = added.get(-1, np.zeros(len(STRENGTHS))) + strength_log(totals[1], totals[0], d)
         s = drawn(rng, STRENGTHS, logs)
-        if old is not None:
-            old.drop()
+        old.drop()
         if not last:
             down.drop()
         old, state = new, new.df().where("state is not null").select("cell", "state")
@@ -605,9 +671,10 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, burn_in: int = BUR
     roots.drop()
     counts = down.df().where("cell >= 0").groupBy("cell").agg(F.collect_list(F.struct("root", "data")).alias("counts"))
     shared = spark.sparkContext.broadcast((before, totals, n, v, 300_000))
-    asked = state.hint("merge").join(first.select("cell", "lists"), "cell").join(counts.hint("merge"), "cell").select("cell", "state", "lists", "counts")
+    lists = made["lists"].df().select("cell", F.col("data").alias("lists"))
+    asked = state.hint("merge").join(lists, "cell").join(counts.hint("merge"), "cell").select("cell", "state", "lists", "counts")
     answers = asked.mapInArrow(_answered(shared), "pack long, data binary, long binary")
-    heads = made.df().where("head is not null").select("pack", "head")
+    heads = made["head"].df().select("pack", F.col("data").alias("head"))
     kind = docs.schema["doc_id"].dataType
     out = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return heads.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_merged(to_arrow_type(kind), n), out)

@@ -61,10 +61,17 @@ class Table:
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def _at(self):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def exists(self) -> bool:
+        fs, p = self._at()
+        return fs.exists(p)
+
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = self._at()
+        fs.delete(p, True)
 
 
 def written(df: DataFrame, codec: str = "zstd") -> Table:
@@ -75,6 +82,20 @@ def written(df: DataFrame, codec: str = "zstd") -> Table:
     return Table(spark, path, df.schema)
 
 
+def written_apart(df: DataFrame, column: str, values: tuple[str, ...], codec: str = "zstd") -> dict[str, Table]:
+    """``written``, with a table for each value of a column, so that each can be dropped on its own."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/acopio-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).partitionBy(column).parquet(path)
+    rest = df.drop(column)
+    found = {}
+    for v in values:
+        found[v] = Table(spark, f"{path}/{column}={v}", rest.schema)
+        if not found[v].exists():  # no such row
+            spark.createDataFrame([], rest.schema).write.parquet(found[v].path)
+    return found
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that are no longer referenced: its cleaner
     works once the driver has collected them, in the background."""
