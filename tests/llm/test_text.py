@@ -92,6 +92,36 @@ def test_quality(spark, odd, nothing):
     assert quality.keep(odd, model, 0.0).columns == odd.columns
 
 
+def test_scores_are_sums_of_looked_up_steps():
+    """Against a plain walk over the tables, a row and a feature at a time; and features against plain counts."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((400, 4)), 2)
+    y = (x[:, 0] + (x[:, 1] > 0.5) * x[:, 2] > 0.8).astype(float)
+    model = quality.Gam(pairs=3, turns=20, pair_turns=10).fit(x, y)
+    for row, got in zip(x, model.score(x), strict=True):
+        f = model.base
+        for k, v in enumerate(row):
+            f += model.tables[k][sum(v >= e for e in model.edges[k])]
+        for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
+            f += table[sum(row[i] >= e for e in model.coarse[i])][sum(row[j] >= e for e in model.coarse[j])]
+        assert math.isclose(got, 1 / (1 + math.exp(-f)), rel_tol=1e-9)
+    text = "One two TWO two.\nOne two TWO two.\n\n3é!"
+    got = dict(zip(quality.FEATURES, quality.features(text), strict=True))
+    b, words = text.encode(), text.split()
+    assert math.isclose(got["log_bytes"], math.log1p(len(b))) and math.isclose(got["digits"], 1 / len(b)) and math.isclose(got["lines"], 3 / len(words))
+    assert math.isclose(got["line_copies"], 1 / 3) and math.isclose(got["non_ascii"], 2 / len(b)) and math.isclose(got["upper_words"], 2 / len(words))
+    assert [k for k, v in zip(quality.FEATURES, quality.features(""), strict=True) if v] == ["non_ascii", "line_copies"]
+
+
+def test_quality_of_repeated_labels_and_long_texts(spark):
+    """A doc_id that is labelled twice counts once, with its largest label; a text of any length is read whole."""
+    docs = spark.createDataFrame([(k, "good words here. " * (k + 1) if k % 2 else "x ! # " * (k + 1)) for k in range(60)] + [(60, "good words here. " * 60_000), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] * 2 + [(3, 0), (5, None)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    rows = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert len(rows) == 62 and rows[59] > 0.5 > rows[58] and rows[60] > 0.5
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
@@ -108,7 +138,8 @@ def test_language(spark, odd, nothing, some):
     rows = language.label(odd, model, words=True).collect()
     assert all((r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) for r in rows)
     assert all(len(r.word_langs) == len((r.text or "").split()) for r in rows)
-    assert language.label(nothing, model).count() == 0
+    assert language.label(nothing, model).count() == 0 and "a.b" in language.label(odd, model).columns
+    assert language.fit(nothing).labels == []
     unlearned = language.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in language.label(odd, unlearned).collect()} == {"und"}
 
@@ -215,6 +246,8 @@ def test_near_duplicates(spark, odd, nothing, some):
         assert len(got) == df.count() and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id or r.doc_id is None) for r in got)
     assert near_dup.near_duplicates(nothing).count() == 0
     assert near_dup.keep_one(odd).columns == odd.columns
+    clash = odd.withColumnRenamed("lang", "acopio_gone")
+    assert near_dup.keep_one(clash).columns == clash.columns and near_dup.keep_one(clash).count() == near_dup.keep_one(odd).count()
 
 
 def test_near_duplicates_of_one_id_on_two_texts(spark):
@@ -306,6 +339,8 @@ def test_language_model(odd, nothing, some):
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert language_model.score(nothing).count() == 0
+    long = odd.select("doc_id", F.repeat(F.concat(F.coalesce("text", F.lit("")), F.lit(" ab c")), 4_000).alias("text"), F.lit(1).alias("score"), F.lit(2).alias("cell")).where("doc_id in (3, 5)")
+    assert {r.n_tokens for r in language_model.score(long).collect()} == {4_000 * 2 + 2, 4_000 * 9 + 2}
 
 
 def stirling(c, d):
@@ -395,10 +430,10 @@ def test_model_against_one_customer_at_a_time():
                 n = sum(k for (e, _), k in data.items() if e == a)
                 for b in range(v):
                     theirs[a, b] += (max(data.get((a, b), 0) - d * len(tables.get((a, b), [])), 0) + (s + d * total) * (r[b] + weight) / (r.sum() + weight * (v + 1))) / (s + n)
-        if turn == 1_000:
+        if turn == 600:
             break
     mine, theirs = mine / rounds, theirs / (turn - 99)
-    assert np.abs(mine - theirs).max() < 0.012
+    assert np.abs(mine - theirs).max() < 0.015
 
 
 def test_probabilities_sum_to_one():
