@@ -52,7 +52,7 @@ from acopio.llm.shared import buckets, crc_mod, release, small_batches, text_sli
 
 BURN_IN, SAMPLES, INNER = 1, 3, 2
 END = 0
-PACK = 6 << 20
+PACK = 5 << 20
 LONG, HEAVY, HEAVY_DOCS, COMMON = 64, 4_000, 4_000, 1 << 15
 #: What strength and the root's base weight (a word's share) are drawn from.
 STRENGTHS, WEIGHTS = 10.0 ** np.linspace(-2, 2, 17), 10.0 ** np.linspace(-3, 1, 17)
@@ -267,10 +267,12 @@ def _heavy(bare: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         del tokens
         release()
 
-    counts = some.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    table = written(some.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    counts = table.df()
     total = counts.agg(F.sum("n")).first()[0] or 1
     found = counts.where(F.col("n") > max(8.0, total / min(4 * cells, HEAVY))).collect()  # at most HEAVY words
     often = counts.orderBy(F.desc("n"), "w").limit(COMMON).toArrow()["w"].to_numpy()  # at most COMMON numbers
+    table.drop()
     words = np.array([r.w for r in found], np.int64).view(np.uint64)
     parts = np.minimum(cells, np.ceil(np.array([r.n for r in found], float) / total * 4 * cells)).astype(np.int64)
     order = np.argsort(words)
@@ -454,7 +456,8 @@ class Cell:
     """Dishes of a cell; ``share``: G of its words when they were seated last."""
 
     def __init__(self, state):
-        per, self.word, c, many, when, acc, share, self.here, self.heavy, words = unpacked(state)
+        per, self.word, c, many, when, acc, share, self.here, self.heavy, words, *n = unpacked(state)
+        self.n = n[0] if n else np.zeros(0, np.uint8)  # customers of each word, once they are known
         self.many, self.words = len(per), int(words[0])  # contexts, words
         self.u = np.repeat(np.arange(self.many), per)
         self.per, self.c, self.opened, self.when = per, c.astype(np.int64), many.astype(np.int64), when.astype(np.int64)
@@ -477,14 +480,16 @@ class Cell:
         return (np.maximum(self.c - d * self.t, 0) + (s + d * t)[self.u] * self.share[self.word].astype(float)) / (s + c)[self.u]
 
     def packed(self) -> bytes:
-        return packed(self.per, self.word, _small(self.c), _small(self.opened), _small(self.when), self.acc.astype(np.float32), self.share.astype(np.float32), self.here, self.heavy, np.array([self.words]))
+        return packed(self.per, self.word, _small(self.c), _small(self.opened), _small(self.when), self.acc.astype(np.float32), self.share.astype(np.float32), self.here, self.heavy, np.array([self.words]), _small(self.n))
 
 
-def _shares(rows: pa.Table, norm: float, unknown: float) -> np.ndarray:
-    """G of a cell's words from what the root cells sent."""
+def _received(rows: pa.Table, norm: float, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """G of a cell's words, and (with the last draw) their customers, from what the root cells sent."""
     order = np.argsort(rows.column("root").to_numpy(), kind="stable").tolist()
-    g = np.concatenate([unpacked(rows.column("data")[k])[0] for k in order]).astype(float)
-    return np.where(g < 0, unknown, g) / norm
+    got = [unpacked(rows.column("data")[k]) for k in order]
+    g = np.concatenate([x[0] for x in got]).astype(float)
+    n = [x[1].astype(np.int64) for x in got if len(x) > 1]
+    return np.where(g < 0, unknown, g) / norm, np.concatenate(n) if n else np.zeros(0, np.uint8)
 
 
 def _swept(shared):
@@ -497,7 +502,7 @@ def _swept(shared):
         x = Cell(state.column("state")[0])
         if before:  # the last seating was a sample: its probabilities count
             x.acc += x.probabilities(heavy_totals, *before)
-        x.share = _shares(down, norm, unknown)
+        x.share, x.n = _received(down, norm, unknown)
         rng = np.random.default_rng((seed, b))
         given = (x.here, g[x.heavy]) if len(x.here) else None
         for _ in range(INNER):
@@ -558,9 +563,9 @@ def _answered(shared):
         held: dict[int, list[np.ndarray]] = {}
         docs_held = 0
         for batch in batches:
-            for b, state, lists, counts in zip(batch.column("cell").to_pylist(), batch.column("state"), batch.column("lists"), batch.column("counts").to_pylist(), strict=True):
+            for b, state, lists in zip(batch.column("cell").to_pylist(), batch.column("state"), batch.column("lists"), strict=True):
                 x = Cell(state)
-                total = np.concatenate([unpacked(c)[1].astype(np.int64) for _, c in sorted((r["root"], r["data"]) for r in counts)])
+                total = x.n.astype(np.int64)
                 log = np.log10((x.acc + x.probabilities(heavy_totals, *before)) / SAMPLES)
                 base, known = np.log10((total + 1) / (n + v + 1))[x.word], (total > 0)[x.word]
                 rows = []
@@ -663,16 +668,14 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2, burn_in: int = BUR
         logs = added.get(-1, np.zeros(len(STRENGTHS))) + strength_log(totals[1], totals[0], d)
         s = drawn(rng, STRENGTHS, logs)
         old.drop()
-        if not last:
-            down.drop()
+        down.drop()
         old, state = new, new.df().where("state is not null").select("cell", "state")
         ups = new.df().where("up is not null").select("root", "cell", F.col("up").alias("data"))
         tidy(spark)
     roots.drop()
-    counts = down.df().where("cell >= 0").groupBy("cell").agg(F.collect_list(F.struct("root", "data")).alias("counts"))
     shared = spark.sparkContext.broadcast((before, totals, n, v, 300_000))
     lists = made["lists"].df().select("cell", F.col("data").alias("lists"))
-    asked = state.hint("merge").join(lists, "cell").join(counts.hint("merge"), "cell").select("cell", "state", "lists", "counts")
+    asked = state.hint("merge").join(lists, "cell").select("cell", "state", "lists")
     answers = asked.mapInArrow(_answered(shared), "pack long, data binary, long binary")
     heads = made["head"].df().select("pack", F.col("data").alias("head"))
     kind = docs.schema["doc_id"].dataType
