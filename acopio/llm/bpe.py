@@ -218,5 +218,5 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, out: str =
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     coded = encode(docs, as_text=True)
-    n = F.when(F.col("ids") == "", F.lit(0)).otherwise(F.length("ids") - F.length(F.translate("ids", " ", "")) + 1)
+    n = F.when(F.col("ids") == "", F.lit(0)).otherwise(F.octet_length("ids") - F.octet_length(F.replace("ids", F.lit(" "), F.lit(""))) + 1)
     return coded.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
