@@ -99,8 +99,8 @@ def contract_page(contracts: DataFrame, suppliers: DataFrame, body: str, year: i
 def with_awardees(cut: DataFrame, suppliers: DataFrame, sort: Sort) -> DataFrame:
     """JN1, PRJ1: a page of at most 100 rows with its suppliers' names, in the page's order."""
     names = suppliers.select("supplier_id", F.col("name").alias("awardee_name"), F.col("fiscal_id").alias("awardee_fiscal_id"))
-    # a join keeps no order: at most a page of rows is put in order again
-    return F.broadcast(cut).join(names, "supplier_id").orderBy(*sort.columns()).select("source_id", "publication_date", "object", "amount", "duration", "awardee_name", "awardee_fiscal_id")
+    # a join keeps no order: at most a page of rows is put in order again, in one task and without sampling
+    return F.broadcast(cut).join(names, "supplier_id").repartition(1).sortWithinPartitions(*sort.columns()).select("source_id", "publication_date", "object", "amount", "duration", "awardee_name", "awardee_fiscal_id")
 
 
 def envelope(rows: DataFrame, number: int, size: int) -> DataFrame:
@@ -112,7 +112,8 @@ def envelope(rows: DataFrame, number: int, size: int) -> DataFrame:
 def years(contracts: DataFrame, body: str) -> DataFrame:
     """SET3: years with something visible, newest first."""
     known = F.col("publication_year").isNotNull()  # prunes the folder of undated rows
-    return contracts.where(visible(body=body) & known).select("publication_year").distinct().orderBy(F.desc("publication_year"))
+    # a few years: one task puts them in order
+    return contracts.where(visible(body=body) & known).select("publication_year").distinct().repartition(1).sortWithinPartitions(F.desc("publication_year"))
 
 
 def bodies_with_visible(bodies: DataFrame, *families: DataFrame) -> DataFrame:
