@@ -10,10 +10,11 @@ buckets (packed arrays, not rows); only runs whose hash is in two documents or m
 then cut out of the texts and dealt by that hash, so that all equal strings meet.
 
 Method, inside a bucket: equal cuttings are one string with the smallest doc_id of its
-occurrences; an enhanced suffix array (suffixes sorted, with their common prefixes) of what is left is
-scanned with a stack, which gives the tree of common-prefix intervals; an interval of LEAST or more
+occurrences; an enhanced suffix array (suffixes sorted, with their common prefixes) of what is left gives
+the tree of common-prefix intervals, level by level from long to short; an interval of LEAST or more
 whose suffixes are preceded by different bytes (or start a run) is a maximal repeat, put
 out with all its occurrences.  Every repeat marks its occurrences in documents after its first.
+All of this is done with arrays, on chunks of CHUNK bytes of cuttings, a larger code in parts by hash.
 
 Defined results: null text is empty; texts under LEAST bytes lose nothing; a null doc_id comes after
 all others (and null ones don't make each other's bytes go); rows that share a
@@ -34,6 +35,8 @@ from acopio.llm.shared import buckets, opened, pressed, text_slices, tidy, writt
 
 LEAST, GRAM = 50, 16
 NO_ID = np.iinfo(np.int64).max
+#: Bytes of cuttings whose suffixes are looked at together.
+CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -43,8 +46,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def runs(data: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the minimizer, first start and number of starts of each run of a text."""
+def runs(data: bytes, least: int = LEAST, gram: int = GRAM, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the minimizer, first start and number of starts of each run of a text, or of the texts
+    that end at ``ends``, one after the other (a run lies within one of them)."""
     n = len(data) - least + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -63,83 +67,136 @@ def runs(data: bytes, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray,
     # a run is a stretch of starts with the same smallest hash; in a periodic text a stretch has no
     # end, so stretches are cut at every ``span`` starts from the first: counts and lengths stay
     # small, and a long stretch is few different strings
-    first = np.concatenate([[0], np.nonzero(low[1:] != low[:-1])[0] + 1])
-    parts = -(-np.diff(np.append(first, n)) // span)
+    ends = np.array([len(data)]) if ends is None else ends
+    begin = np.append(0, ends[:-1])
+    new = np.append(True, low[1:] != low[:-1])
+    begin, last = begin[ends - begin >= least], (ends - least + 1)[ends - begin >= least]
+    new[begin] = True
+    first = np.nonzero(new)[0]
+    text = np.searchsorted(begin, first, "right") - 1
+    inside = (text >= 0) & (first < np.append(last, 0)[text])  # starts before the last LEAST - 1 bytes of a text
+    first, text = first[inside], text[inside]
+    end = np.minimum(np.append(first[1:], n), last[text])
+    parts = -(-(end - first) // span)
     first = np.repeat(first, parts) + span * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return low[first], first, np.diff(np.append(first, n))
+    return low[first], first, np.minimum(np.append(first[1:], n), np.repeat(end, parts)) - first
+
+
+def window_hashes(data: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Hash of the ``least`` bytes from each place, joined from hashes of 1, 2, 4, ... bytes."""
+    h, width, base, whole, have = data.astype(np.uint64) + np.uint64(1), 1, _BASE, None, 0
+    while True:
+        if least & width:
+            n = max(len(data) - have - width + 1, 0)
+            whole = h if whole is None else whole[:n] * np.uint64(base) + h[have : have + n]
+            have += width
+        if width * 2 > least:
+            return _mix(whole)
+        h = h[:-width] * np.uint64(base) + h[width:]
+        base, width = base * base % 2**64, width * 2
+
+
+def _words(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one big-endian number, zero from ``left`` bytes on."""
+    cover = np.array([0] + [2**64 - 2 ** (64 - 8 * k) for k in range(1, 9)], np.uint64)
+    raw = np.lib.stride_tricks.sliding_window_view(data, 8)[np.minimum(at, len(data) - 8)]
+    return raw.view(">u8")[:, 0].astype(np.uint64) & cover[np.clip(left, 0, 8)]
 
 
-def intervals(strings: list[bytes], starts: list[int], least: int = LEAST) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """The suffix array, rows (string, start), and its maximal repeats: (length, first, end).
+def suffix_array(data: np.ndarray, at: np.ndarray, size: np.ndarray, least: int = LEAST, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes data[at : at + size] sorted, and the length each has in common with the one before.
 
-    ``starts``: suffixes of a string from its first on.  The intervals of common prefixes come off
-    a stack; each knows the bytes before its suffixes (None: the first of its string), and is
-    left-maximal if there are several or a first.
+    ``data`` ends with eight bytes more than any suffix.  ``own``: hashes of their first ``least`` bytes; suffixes
+    are then in the order of these, and of their bytes within one: what shares ``least`` bytes is together either way.
     """
-    return _intervals(strings, sorted((s[p:], k, p) for k, s in enumerate(strings) for p in range(starts[k])), least)
-
-
-def classes(strings: list[bytes], least: int = LEAST) -> list[np.ndarray]:
-    """Rows (string, start) of suffixes that share their first ``least`` bytes with another, class by
-    class.  An interval with a common prefix that long lies within one class, so classes
-    are scanned one after the other."""
-    sizes = np.array([len(s) for s in strings])
-    h, width, base, left = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1), 1, _BASE, least
-    whole, done, power = None, 0, base
-    while left:  # the hash of ``least`` bytes from those of 1, 2, 4, ... bytes
-        if left & 1:
-            if whole is None:
-                whole = h
-            else:
-                n = len(whole) - width
-                whole = whole[: max(n, 0)] if n <= 0 else h[:n] * np.uint64(done) + whole[width : width + n]
-            done = power if whole is h else done * power % 2**64
-        left >>= 1
-        if left:
-            h = h[:-width] * np.uint64(power) + h[width:]
-            width, power = width * 2, power * power % 2**64
-    many = np.maximum(sizes - least + 1, 0)
-    k = np.repeat(np.arange(len(strings)), many)
-    p = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    own = _mix(whole[(np.cumsum(sizes) - sizes)[k] + p])
-    order = np.argsort(own, kind="stable")
-    edge = np.append(np.nonzero(np.append(True, own[order][1:] != own[order][:-1]))[0], len(own))
-    rows = np.stack([k, p], 1)[order]
-    return [rows[a:z] for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if z - a > 1]
-
-
-def _intervals(strings: list[bytes], suffixes: list[tuple[bytes, int, int]], least: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    out: list[tuple[int, int, int]] = []
-    stack: list[tuple[int, int, set]] = []  # common prefix, first suffix, bytes before its suffixes
-    for i in range(1, len(suffixes) + 1):
-        text, k, p = suffixes[i - 1]
-        common = _common(text, suffixes[i][0]) if i < len(suffixes) else 0
-        common = common if common >= least else 0
-        begin, left = i - 1, {strings[k][p - 1] if p else None}
-        while stack and stack[-1][0] > common:
-            length, begin, seen = stack.pop()
-            left = seen | left
-            if len(left) > 1 or None in left:
-                out.append((length, begin, i))
-        if common and (not stack or stack[-1][0] < common):
-            stack.append((common, begin, left))
-        elif common:
-            stack[-1][2].update(left)
-    return np.array([(k, p) for _, k, p in suffixes], np.int64).reshape(-1, 2), out
+    skip, longest = least if own is not None else 0, int(size.max(initial=0))
+    keys = [_words(data, at + k, size - k) for k in range(skip, longest, 8)]
+    order = np.lexsort([size, *keys[::-1]] + ([own] if own is not None else []))
+    at, size = at[order], size[order]
+    common, same = np.zeros(len(at), np.int64), np.ones(max(len(at) - 1, 0), bool)
+    for k in [*range(0, skip, 8), *range(skip, longest, 8)]:
+        key = _words(data, at + k, np.minimum(size, skip if k < skip else longest) - k) if k < skip else keys[(k - skip) // 8][order]
+        differ = key[1:] ^ key[:-1]
+        equal = sum((differ < np.uint64(1 << b)).astype(np.int64) for b in range(0, 64, 8))
+        common[1:] += same * (np.minimum(equal, skip - k) if k < skip else equal)
+        same &= differ == 0
+    common[1:] = np.minimum(common[1:], np.minimum(size[1:], size[:-1]))
+    if own is not None and ((own[order][1:] == own[order][:-1]) & (common[1:] < least)).any():  # one hash, other bytes
+        back = np.argsort(order)
+        order, common = suffix_array(data, at[back], size[back], least)
+    return order, common
+
+
+def maximal_repeats(common: np.ndarray, before: np.ndarray, least: int = LEAST):
+    """(length, firsts, ends) of the maximal repeats in a suffix array, from long to short.
+
+    ``before``: the byte before each suffix (-1: none).  An interval of common prefixes is a repeat that can't be
+    longer to the right; it is maximal if its suffixes have different bytes before them, or one has none.
+    """
+    for length in np.unique(common[common >= least])[::-1].tolist():
+        near = np.nonzero(common >= length)[0]
+        head = np.nonzero(np.append(True, near[1:] != near[:-1] + 1))[0]
+        first, end = near[head] - 1, near[np.append(head[1:], len(near)) - 1] + 1
+        low = np.minimum(np.minimum.reduceat(before[near], head), before[first])
+        high = np.maximum(np.maximum.reduceat(before[near], head), before[first])
+        good = (np.minimum.reduceat(common[near], head) == length) & ((low < high) | (low < 0))
+        yield length, first[good], end[good]
 
 
-def repeats(strings: list[bytes], starts: list[int], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats of ``least`` bytes or more: (length, all occurrences as (string, start))."""
-    array, found = intervals(strings, starts, least)
-    return [(length, [(int(k), int(p)) for k, p in array[a:z]]) for length, a, z in found]
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each stretch, one after the other."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
 
-def _common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (x.bit_length() + 7) // 8
+def repeats(strings: list[bytes], starts: list[int], least: int = LEAST) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Maximal repeats of ``least`` bytes or more: (length, all occurrences as (string, start)).
+
+    ``starts``: suffixes of a string from its first on."""
+    data = np.frombuffer(b"".join(strings) + bytes(8), np.uint8)
+    size, many = (np.array(x, np.int64) for x in ([len(s) for s in strings], starts))
+    k, p = np.repeat(np.arange(len(strings)), many), _spread(np.zeros(len(many), np.int64), many)
+    at = (np.cumsum(size) - size)[k] + p
+    order, common = suffix_array(data, at, size[k] - p, least)
+    k, p = k[order], p[order]
+    before = np.where(p > 0, data[at[order] - 1].astype(np.int64), -1)
+    return [(n, list(zip(k[a:z].tolist(), p[a:z].tolist(), strict=True))) for n, firsts, ends in maximal_repeats(common, before, least) for a, z in zip(firsts.tolist(), ends.tolist(), strict=True)]
+
+
+def _alike(data: np.ndarray, begin: np.ndarray, size: np.ndarray, smallest: np.ndarray):
+    """(string, start in it, hash) of the suffixes of strings whose first LEAST bytes also start in a string
+    with another smallest id, those with equal bytes together.  Many strings of one code come in
+    parts by hash, so that what is held at once stays bounded."""
+    many = size - LEAST + 1
+    own, cut = [], np.nonzero(np.diff(np.cumsum(size) // CHUNK, prepend=-1))[0].tolist()
+    for a, z in zip(cut, [*cut[1:], len(size)], strict=True):
+        text = data[_spread(begin[a:z], size[a:z])]
+        own.append(window_hashes(text)[_spread(np.cumsum(size[a:z]) - size[a:z], many[a:z])])
+    own, edge = np.concatenate(own), np.cumsum(many)
+    parts = -(-len(own) // CHUNK)
+    for part in range(parts):
+        row = np.nonzero(own % np.uint64(parts) == part)[0] if parts > 1 else np.arange(len(own))
+        row = row[np.argsort(own[row])]
+        if not len(row):
+            continue
+        name = own[row]
+        string = np.searchsorted(edge, row, "right")
+        first = np.nonzero(np.append(True, name[1:] != name[:-1]))[0]
+        low, high = (f.reduceat(smallest[string], first) for f in (np.minimum, np.maximum))
+        stay = np.repeat(low != high, np.diff(np.append(first, len(row))))
+        yield string[stay], (row - (edge - many)[string])[stay], name[stay]
+
+
+def _joined(texts: list[str], most: int = 1 << 17):
+    """Lists of texts in bytes, each of ``most`` bytes and one text at most."""
+    some, total = [], 0
+    for t in texts:
+        some.append(t.encode("utf-8", "replace"))
+        total += len(some[-1])
+        if total >= most:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
 
 
 def _packed(docs: DataFrame, deal: int) -> DataFrame:
@@ -149,18 +206,17 @@ def _packed(docs: DataFrame, deal: int) -> DataFrame:
         for part, texts in text_slices(batches, "t", 12 << 20):
             ids, keys = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key"))
             hashes, places, counts, ends, at = [], [], [], [], 0
-            for t in texts:
-                data = t.encode("utf-8", "replace")
-                h, first, many = runs(data)
-                hashes.append(h), places.append(first + at), counts.append(many)
-                at += len(data)
-                ends.append(at)
+            for some in _joined(texts):
+                end = np.cumsum([len(x) for x in some])
+                h, first, many = runs(b"".join(some), ends=end)
+                hashes.append(h), places.append(first + at), counts.append(many), ends.append(end + at)
+                at += int(end[-1])
             h, place, many = np.concatenate(hashes), np.concatenate(places), np.concatenate(counts)
             bucket = (h % np.uint64(deal)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             h, place, many = h[order], place[order], many[order].astype(np.uint16)
             cut = np.searchsorted(bucket[order], np.arange(deal + 1))
-            ends = np.array(ends, np.int64)
+            ends = np.concatenate(ends)
             code = h // np.uint64(deal)
             rows = []
             for b in range(deal):
@@ -266,29 +322,41 @@ def _marks(deal: int):
         smallest = np.full(len(first), NO_ID)
         np.minimum.at(smallest, of, ids)
         # (string, start in it, length, smallest id): first each whole string, then maximal repeats
-        spans = [(np.arange(len(first)), np.zeros(len(first), np.int64), size[first].astype(np.int64), smallest)]
-        which = np.searchsorted(base, first, "right") - 1
-        ends = [np.cumsum(p[2], dtype=np.int64) for p in parts]
-        own = code[first]
-        edge = np.append(np.nonzero(np.append(True, own[1:] != own[:-1]))[0], len(own))
-        for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if z - a < 2:
-                continue
-            strings = []
-            for k in range(a, z):
-                part = which[k]
-                end = int(ends[part][first[k] - base[part]])
-                strings.append(parts[part][3][end - int(size[first[k]]) : end])
-            for rows in classes(strings):
-                array, found = _intervals(strings, sorted((strings[k][p:], k, p) for k, p in rows.tolist()), LEAST)
+        sizes = size[first].astype(np.int64)
+        spans = [(np.arange(len(first)), np.zeros(len(first), np.int64), sizes, smallest)]
+        begin = (np.cumsum(size, dtype=np.int64) - size)[first]
+        data = np.frombuffer(b"".join([p[3] for p in parts] + [bytes(8)]), np.uint8)
+        del parts
+        # only strings of a code that has several, with several smallest ids; chunks of whole codes
+        head = np.nonzero(np.append(True, code[first][1:] != code[first][:-1]))[0]
+        each = np.diff(np.append(head, len(first)))
+        mixed = np.repeat(np.minimum.reduceat(smallest, head) != np.maximum.reduceat(smallest, head), each)
+        held = np.nonzero(mixed)[0]
+        weight = np.cumsum(sizes[held]) - sizes[held]
+        same = np.append(False, code[first][held][1:] == code[first][held][:-1])
+        weight = np.maximum.accumulate(np.where(same, 0, weight)) // CHUNK
+        cut = np.nonzero(np.append(True, weight[1:] != weight[:-1]))[0].tolist() if len(held) else []
+        for a, z in zip(cut, [*cut[1:], len(held)], strict=False):
+            some = held[a:z]
+            for string, place, own in _alike(data, begin[some], sizes[some], smallest[some]):
+                string = some[string]
+                at = begin[string] + place
+                array, common = suffix_array(data, at, sizes[string] - place, LEAST, own)
+                string, place = string[array], place[array]
+                before = np.where(place > 0, data[at[array] - 1].astype(np.int64), -1)
                 # from long to short: a repeat adds to a suffix only what has an earlier document
-                low, best = smallest[a + array[:, 0]], np.full(len(array), NO_ID)
-                for length, lo, hi in sorted(found, reverse=True):
-                    head = low[lo:hi].min()
-                    add = lo + np.nonzero(head < np.minimum(best[lo:hi], low[lo:hi] + 1))[0]
-                    if len(add):
-                        best[add] = head
-                        spans.append((a + array[add, 0], array[add, 1], np.full(len(add), length), np.full(len(add), head)))
+                low = smallest[string]
+                best = low.copy()
+                for length, firsts, ends in maximal_repeats(common, before):
+                    if not len(firsts):
+                        continue
+                    many = ends - firsts
+                    x = _spread(firsts, many)
+                    lead = np.repeat(np.minimum.reduceat(low[x], np.cumsum(many) - many), many)
+                    good = lead < best[x]
+                    x, lead = x[good], lead[good]
+                    best[x] = lead
+                    spans.append((string[x], place[x], np.full(len(x), length), lead))
         string, place, length, head = (np.concatenate(x) for x in zip(*spans, strict=True))
         order = np.argsort(string, kind="stable")
         cut = np.searchsorted(string[order], np.arange(len(first) + 1))
@@ -337,10 +405,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
         order = np.lexsort((begin, key))
         key, begin, end = key[order], begin[order], (begin + size)[order]
         n_bytes, spans, left = [], [], []
-        names = np.unique(rows.column("key").to_numpy(), return_inverse=True)[1] if rows.num_rows else ()
-        for name, t in zip(names, rows.column("t"), strict=True):
+        names = (np.unique(rows.column("key").to_numpy(), return_inverse=True)[1] if rows.num_rows else np.zeros(0)).astype(np.uint32)
+        # all at once, and of one type: else the marks are copied for each document
+        edges = zip(*(np.searchsorted(key, names, side).tolist() for side in ("left", "right")), strict=True)
+        for (a, z), t in zip(edges, rows.column("t"), strict=True):
             data = t.as_py().encode("utf-8", "replace")
-            a, z = np.searchsorted(key, name, "left"), np.searchsorted(key, name, "right")
             n_bytes.append(len(data))
             if a == z:
                 spans.append([]), left.append(data)

@@ -7,10 +7,12 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from acopio.llm import bpe, language, language_model, near_dup, packing, quality, suffixes
@@ -301,6 +303,76 @@ def test_periodic_repeats(spark):
         assert (r.n_bytes, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id]
 
 
+def bucket_of(strings, code, ids):
+    """What a bucket gets of one group: equal strings of a code once, each of a document of its own."""
+    names = np.array([xxhash.xxh3_64_intdigest(x) for x in strings], np.uint64)
+    each, place = np.ones(len(strings), np.uint32), np.arange(len(strings), dtype=np.uint32)
+    sizes = np.array([len(x) for x in strings], np.uint16)
+    row = suffixes.pressed((np.array(code, np.uint32), names, sizes, b"".join(strings), place, np.array(ids), place, each, np.zeros(len(strings), np.uint32), 0))
+    return suffixes._table([(0, row)], ("bucket", "data"))
+
+
+def marked(strings, code, ids):
+    cover = [np.zeros(len(x), bool) for x in strings]
+    for x in suffixes._marks(1)(bucket_of(strings, code, ids)).column("data"):
+        for d, a, n in zip(*(v.tolist() for v in suffixes.opened(x)), strict=True):
+            cover[d][a : a + n] = True
+    return cover
+
+
+@pytest.mark.parametrize("chunk", [100, 3_000, 1 << 20])
+def test_marks_in_chunks(monkeypatch, chunk):
+    """Strings of many codes and of one large code, taken whole, in pieces and in parts by hash."""
+    monkeypatch.setattr(suffixes, "CHUNK", chunk, raising=False)
+    rng = random.Random(chunk)
+    strings, code = [], []
+    for c, many in enumerate((3, 200, 4, 40, 2)):  # each code has bytes of its own, as equal strings have equal codes
+        some = bytes([3 * c, 3 * c + 1, 3 * c + 2])
+        text = bytes(rng.choices(some[:2], k=150 if many > 9 else 60)) + bytes(rng.choices(some, k=60))
+        new = {text[a : a + n] + bytes(rng.choices(some, k=rng.choice([0, 0, 3]))) for _ in range(many) for a, n in [(rng.randint(0, len(text) - 50), rng.randint(50, 81))]}
+        strings += sorted(new)
+        code += [c] * len(new)
+    ids = rng.sample(range(1000), len(strings))
+    first = {}
+    for x, c, d in zip(strings, code, ids, strict=True):
+        for p in range(len(x) - 49):
+            first[c, x[p : p + 50]] = min(d, first.get((c, x[p : p + 50]), d))
+    got = marked(strings, code, ids)
+    assert any(x.any() for x in got)
+    for x, c, d, have in zip(strings, code, ids, got, strict=True):
+        want = np.zeros(len(x), bool)
+        for p in range(len(x) - 49):
+            if first[c, x[p : p + 50]] < d:
+                want[p : p + 50] = True
+        assert (have == want).all()
+
+
+def test_marks_of_one_hash(monkeypatch):
+    """Suffixes whose hashes are equal by chance are told apart by their bytes."""
+    monkeypatch.setattr(suffixes, "window_hashes", lambda data, least=50: np.zeros(max(len(data) - least + 1, 0), np.uint64), raising=False)
+    strings = [b"a" * 50 + b"bcd", b"a" * 51 + b"bc", b"x" + b"a" * 50 + b"b", b"q" * 55]
+    got = marked(strings, [0] * 4, [5, 6, 7, 8])
+    assert [int(x.sum()) for x in got] == [0, 53, 51, 0]
+
+
+def test_marks_take_no_loop_by_code():
+    """20,000 codes of two strings, and the end of a passage that 5,000 documents have: less time than
+    to cut the suffixes as Python's strings and to sort them five times."""
+    rng = random.Random(5)
+    tail = lambda n: bytes(rng.choices(range(97, 123), k=n))
+    pairs = [x + tail(2) for x in (tail(50) for _ in range(20_000)) for _ in range(2)]
+    one = [b"p" * 20 + b"this is the end of the passage that all of them have" + tail(12) for _ in range(5_000)]
+    for strings, code in ((pairs, [k // 2 for k in range(len(pairs))]), (one, [0] * len(one))):
+        table = bucket_of(strings, code, range(len(strings)))
+        t = time.process_time()
+        suffixes._marks(1)(table)
+        took = time.process_time() - t
+        t = time.process_time()
+        for _ in range(5):
+            sorted((x[p:], k, p) for k, x in enumerate(strings) for p in range(len(x) - 49))
+        assert took < time.process_time() - t
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_maximal_repeats(seed):
     rng, least = random.Random(seed), 4
