@@ -7,7 +7,8 @@ Dealing: each string of LEAST bytes has a minimizer, the gram of GRAM bytes with
 smallest hash in it, so equal strings have equal minimizers at equal places.  Consecutive
 strings with one minimizer are a run, of LEAST - GRAM + 1 strings at most.  Packs of documents send the hashes of their runs to
 buckets (packed arrays, not rows); only runs whose hash is in two documents or more are
-then cut out of the texts and dealt by that hash, so that all equal strings meet.
+then cut out of the texts and dealt by that hash, so that all equal strings meet.  This takes ROUNDS rounds, each of
+a share of the buckets, so that not all cuttings are on disk at once.
 
 Method, inside a bucket: equal cuttings are one string with the smallest doc_id of its
 occurrences; an enhanced suffix array (suffixes sorted, with their common prefixes) of what is left gives
@@ -31,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from acopio.llm.shared import buckets, opened, pressed, text_slices, tidy, written
+from acopio.llm.shared import buckets, opened, pressed, text_slices, tidy, written, written_apart
 
 LEAST, GRAM = 50, 16
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of cuttings whose suffixes are looked at together.
 CHUNK = 1 << 20
+#: Rounds of cutting and marking, each of a share of the buckets: cuttings are several times a round's share of the texts.
+ROUNDS = 3
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -264,7 +267,7 @@ def _shared_runs(deal: int):
         h, start, many, key = h[stay], start[stay], many[stay], key[stay]
         code, bucket = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), int(table.column("bucket")[0].as_py())
         rows = [(int(g), pressed((*np.unique(key[x], return_counts=True), start[x], many[x], code[x], bucket))) for g, x in _split(key % deal, deal)]
-        return _table(rows, ("grp", "data"))
+        return _table(rows, ("grp", "data")).append_column("part", pa.array([str(bucket % ROUNDS)] * len(rows), pa.string()))
 
     return run
 
@@ -384,12 +387,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
     # rows that share a doc_id stay apart by their texts
     group = lambda df: df.withColumn("key", F.xxhash64("id", "t")).withColumn("grp", F.pmod("key", F.lit(deal)).cast("int"))
     bare = group(plain.select(doc_id, source))
-    shared = written(_packed(bare, deal).groupBy("bucket").applyInArrow(_shared_runs(deal), "grp int, data binary"), "lz4")
-    tidy(spark)
-    cut = bare.groupBy("grp").cogroup(shared.df().groupBy("grp")).applyInArrow(_cuttings(deal), "bucket int, data binary")
-    marked = written(cut.groupBy("bucket").applyInArrow(_marks(deal), "grp int, data binary"), "lz4")
-    shared.drop()
+    rounds = written_apart(_packed(bare, deal).groupBy("bucket").applyInArrow(_shared_runs(deal), "grp int, data binary, part string"), "part", tuple(map(str, range(ROUNDS))), "lz4")
     tidy(spark)
+    marked = None
+    for shared in rounds.values():  # a round's shuffle files go before the next begins
+        found = written(bare.groupBy("grp").cogroup(shared.df().groupBy("grp")).applyInArrow(_cuttings(deal), "bucket int, data binary").groupBy("bucket").applyInArrow(_marks(deal), "grp int, data binary"), "lz4").df()
+        marked = found if marked is None else marked.unionAll(found)
+        shared.drop()
+        tidy(spark)
     kept = [f"c{k}" for k in range(len(names))]
     full = group(plain.select(*kept, doc_id, source))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plain.schema] + ["n_bytes long", "spans array<struct<start:long,end:long>>", "kept string" if as_text else "kept binary"])
@@ -423,7 +428,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -
             left = [x.decode("utf-8", "ignore") for x in left]
         return pa.table([*(rows.column(c) for c in kept), pa.array(n_bytes, pa.int64()), pa.array(spans, span), pa.array(left, pa.string() if as_text else pa.binary())], names=[*kept, "n_bytes", "spans", "kept"])
 
-    done = full.groupBy("grp").cogroup(marked.df().groupBy("grp")).applyInArrow(clean, schema)
+    done = full.groupBy("grp").cogroup(marked.groupBy("grp")).applyInArrow(clean, schema)
     return done.toDF(*names, "n_bytes", "spans", "kept")
 
 

@@ -290,6 +290,16 @@ def test_repeats(spark, odd, nothing, some):
     assert cleaned.columns == odd.columns and cleaned.where("text is null").count() == 1
 
 
+def test_repeats_in_rounds(spark, some, monkeypatch):
+    """The cuttings of a round are a share of all, and each bucket is in one round."""
+    seen, keep = [], suffixes.written
+    monkeypatch.setattr(suffixes, "written", lambda df, codec: seen.append(keep(df, codec)) or seen[-1])
+    rows = suffixes.remove_repeats(some.select("doc_id", "text")).collect()
+    assert len(seen) == 3 and all(t.df().count() for t in seen)
+    want = brute_repeats(some)
+    assert all((r.n_bytes, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept).hexdigest()) == want[r.doc_id] for r in rows)
+
+
 def test_periodic_repeats(spark):
     """Stretches of one run that have more starts than 16 bits count, in two documents."""
     line = "the same line of 34 letters again."
